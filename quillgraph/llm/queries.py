@@ -29,10 +29,17 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_token_files": op6_token_files,
     "op7_token_counts": op7_token_counts,
+    "op9_near_duplicates": op9_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {}
