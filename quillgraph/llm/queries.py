@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: A key for tests; production passes its own.
+PII_KEY = "quillgraph test key"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.llm.packing import pack
 
@@ -35,11 +45,19 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"), key=PII_KEY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality": op4_quality,
     "op5_packing": op5_packing,
     "op6_token_files": op6_token_files,
     "op7_token_counts": op7_token_counts,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
