@@ -14,6 +14,7 @@ import calendar
 import datetime
 import hashlib
 import hmac
+import math
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -37,11 +38,7 @@ def permute(key: bytes, tweak: str, value: int, size: int, undo: bool = False) -
     """A keyed permutation of range(size): a Feistel network over a * b >= size, walked until it is back in range."""
     if size < 2:
         return value
-    a = 1
-    while a * a < size:
-        a += 1 if size < 4096 else max(1, int((size - a * a) ** 0.5) // 2)
-    while (a - 1) * (a - 1) >= size:
-        a -= 1
+    a = math.isqrt(size - 1) + 1
     b = -(-size // a)
     while True:
         left, right = divmod(value, b)
