@@ -1,17 +1,60 @@
-"""A corpus pipeline from raw documents to packed training sequences."""
+"""A corpus pipeline from raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept;
+all but the last return the columns of documents. `run` writes what a stage returns to
+the shared folder before the next one reads it, so that no stage is computed twice and
+a lost executor costs tasks of one stage only.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillgraph.llm import mixing, neardup, packing, pii, quality, queries, shared
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, queries.table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more."""
+    dropped = shared.written(neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "dropped")
+    return shared.sized_join(docs, dropped, ["doc_id"], "left_anti")
+
+
+def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data become pseudonyms of the same format; n_chars follows the text."""
+    return pii.replace_pii(docs, queries.PII_KEY).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are brought to their target weights; a document is taken once at most."""
+    return mixing.keep_mixed(docs, mixing.Mix(share=90))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are cut and packed into sequences of 2048 tokens."""
+    return packing.pack(docs)
+
 
-from quillgraph.llm import queries as q
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("pii", replace_pii),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+#: A trained network and a tokenizer are beyond SQL; the stages are tested against brute-force versions.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = q.table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Apply all stages to the documents of sf_dir."""
+    docs = queries.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = shared.written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
