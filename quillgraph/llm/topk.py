@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from quillgraph.llm.shared import open_fs, work_dir, written
 
 QUERY_BLOCK, VECTOR_BLOCK, INTERVALS = 2048, 1024, 1024
-LOWEST = -(1 << 62)
 
 
 def whole_vectors(vectors: DataFrame, scale: int) -> DataFrame:
@@ -110,15 +109,16 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
             c, v = mine[length]
             yield name, q, low, [(c[i : i + VECTOR_BLOCK], v[i : i + VECTOR_BLOCK]) for i in range(0, len(c), VECTOR_BLOCK)], m
 
-    def histogram(width: int, state: str | None):
+    def histogram(width: int, span: int, state: str | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for name, q, low, parts, m in scored(batches, state):
                 counts = np.zeros((len(q), INTERVALS), np.int64)
                 for c, v in parts:
-                    # Scores below the interval or beyond it were counted in passes before.
-                    at = (((v @ m.T).astype(np.int64) - low) // width).clip(-1, INTERVALS)
-                    at[c[:, None] == q] = -1
-                    where, which = np.nonzero((at >= 0) & (at < INTERVALS))
+                    # Scores beyond the interval that is divided were counted in passes before.
+                    at = (v @ m.T).astype(np.int64) - low
+                    at[(c[:, None] == q) | (at >= span)] = -1
+                    at //= width
+                    where, which = np.nonzero(at >= 0)
                     counts += np.bincount(which * INTERVALS + at[where, which], minlength=counts.size).reshape(counts.shape)
                 # Only the highest intervals, until they hold k.
                 above = counts[:, ::-1].cumsum(1)[:, ::-1] - counts
@@ -128,9 +128,9 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
 
         return run
 
-    state, above, width = None, None, -(-2 * reach // INTERVALS)
+    state, above, span, width = None, None, 2 * reach, -(-2 * reach // INTERVALS)
     while True:
-        counts = rows.mapInArrow(histogram(width, state), "block string, query_id long, low long, interval long, n long")
+        counts = rows.mapInArrow(histogram(width, span, state), "block string, query_id long, low long, interval long, n long")
         counts = counts.groupBy("block", "query_id", "low", "interval").agg(F.sum("n").alias("n"))
         if above is not None:
             counts = counts.join(above, "query_id")
@@ -147,7 +147,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
         above = spark.read.parquet(state).select("query_id", "above") if _any(spark, state) else None
         if above is None:
             break
-        width = -(-width // INTERVALS)
+        span, width = width, -(-width // INTERVALS)
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, q, low, parts, m in scored(batches, state):
