@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.shared import sized_join, slices, written
@@ -190,6 +190,12 @@ def shared_counts(sets: DataFrame, ids: DataFrame) -> DataFrame:
     return sizes.join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
 
 
+def first_meeting(bands: Column, other: Column, key: Column) -> Column:
+    """Whether two documents have no key in common before this one."""
+    before = F.slice(bands, F.lit(1), F.greatest(F.array_position(bands, key).cast("int") - 1, F.lit(0)))
+    return ~F.arrays_overlap(before, other)
+
+
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
     """(id, component): the smallest id reachable, for every id of `edges` (a, b).
 
@@ -254,10 +260,12 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, permut
             order = [F.col("common") / F.col("n"), F.xxhash64("rep")] if k == 0 else [F.xxhash64("rep", F.lit(k))]
             pivot = at.groupBy("key").agg(F.max(F.struct(*order, F.struct("rep", "component", "n", "common").alias("it"))).alias("p")).select("key", "p.it.*")
         else:
+            # Members carry their keys, so that a pair is made in the first bucket that both are in, and in no other.
+            at = at.join(classes.select("rep", "bands").distinct(), "rep")
             pivot = at
-        pivot = pivot.select("key", *(F.col(c).alias(f"p_{c}") for c in ("rep", "component", "n", "common")))
+        pivot = pivot.select("key", *(F.col(c).alias(f"p_{c}") for c in ("rep", "component", "n", "common", *(["bands"] if k == pivot_rounds else []))))
         both = F.least("common", "p_common")
-        more = at.join(pivot, "key").where((F.col("component") != F.col("p_component")) & (F.col("rep") < F.col("p_rep") if k == pivot_rounds else F.lit(True)) & (100 * both >= threshold * (F.col("n") + F.col("p_n") - both)))
+        more = at.join(pivot, "key").where((F.col("component") != F.col("p_component")) & ((F.col("rep") < F.col("p_rep")) & first_meeting(F.col("bands"), F.col("p_bands"), F.col("key")) if k == pivot_rounds else F.lit(True)) & (100 * both >= threshold * (F.col("n") + F.col("p_n") - both)))
         more = more.select(F.least("p_rep", "rep").alias("a"), F.greatest("p_rep", "rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         now = written(confirm(more, sets, threshold), "tested")
         if now.limit(1).count():
