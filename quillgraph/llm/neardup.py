@@ -7,10 +7,11 @@
 2. Texts with equal sets become one class by their digest, with partial sums before
    the shuffle, so thousands of copies cost one row each and no pair.
 3. In each bucket of a band all members are compared with one pivot, never each with
-   each. Linked members are one component; members that a pivot did not link are
-   compared with other pivots, and at last with every member of another component
-   in their bucket that they could be linked with, so that no link between
-   candidates is lost.
+   each; linked members are one component. Where a bucket still has several, its
+   members are compared with the bucket's middle, and a bitmap keeps what each has of
+   the middle. Two members of different components can be linked only if the bitmaps
+   leave room for it, so of a large group that is alike, but not enough, hardly any
+   pair is made, and no link between candidates is lost.
 4. A candidate pair is linked only if the whole sets say so.
 5. Components are found by alternating large and small stars, all in DataFrames.
 """
@@ -30,8 +31,6 @@ from quillgraph.llm.shared import sized_join, slices, written
 #: Permutations, values in a band: 2 * PERMUTATIONS / ROWS bands. A pair at 0.85 is missed with probability 1e-6.
 PERMUTATIONS = 60
 ROWS = 5
-#: Rounds with other pivots before what is left is compared pair by pair.
-PIVOT_ROUNDS = 2
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -167,6 +166,39 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
 
 
+def compare(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, linked, bits, extra) of pairs (a, b, common): `confirm`, and how b looks from a.
+
+    A bit for each shingle of a says whether b has it; extra is how many of b's
+    shingles that others have are none of a's. Two documents b and b' then share
+    at most the bits that both have, and min(extra) more.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked, bits, extra, last, mine = [], [], [], None, None
+            for x, y, common in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                if x is not last:
+                    last, mine = x, np.frombuffer(x, np.uint64)
+                other = np.frombuffer(y, np.uint64)
+                has = np.isin(mine, other, assume_unique=True)
+                both = int(has.sum())
+                linked.append(100 * both >= threshold * (len(mine) + len(other) - both))
+                bits.append(np.packbits(np.pad(has, (0, -len(has) % 64)), bitorder="little").view(np.int64))
+                extra.append(max(0, common - both))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(bits, pa.list_(pa.int64())), pa.array(extra, pa.int64())], names=["a", "b", "linked", "bits", "extra"])
+
+    rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    return rows.select("a", "b", "x", "y", "common").mapInArrow(run, "a long, b long, linked boolean, bits array<long>, extra long")
+
+
+def still_mixed(rows: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """(key, rep, component) of members (key, rep) of the buckets that have more than one component."""
+    at = rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = at.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key")
+    return written(at.join(mixed, "key"), name)
+
+
 def shared_counts(sets: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, n, common): the size of a document's set, and how many of its shingles another of `ids` has as well.
 
@@ -217,7 +249,7 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
         stars = written(small.where("u <> v").distinct(), name)
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, permutations: int = PERMUTATIONS, rows: int = ROWS, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
     """One row per row of `docs` (doc_id, text): n_shingles, component_id, kept.
 
     Documents are linked if 100 * intersection >= threshold * union of their
@@ -245,33 +277,28 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, permut
     tested = written(confirm(pairs, sets, threshold), "tested")
     labels = components(tested.where("linked"))
     # A bucket of two has been compared in full; so has one whose members are all of one component.
-    wide = members.where("n > 2").select("key", "rep")
-    room = None
-    for k in range(pivot_rounds + 1):
-        at = wide.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        mixed = at.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key")
-        at = written(at.join(mixed, "key"), "mixed")
-        wide = at.select("key", "rep")
-        if room is None:
-            room = written(shared_counts(sets, wide.select(F.col("rep").alias("id")).distinct()), "room")
-        at = at.join(room.withColumnRenamed("id", "rep"), "rep")
-        if k < pivot_rounds:
-            # First the member with the fewest shingles of its own, then others.
-            order = [F.col("common") / F.col("n"), F.xxhash64("rep")] if k == 0 else [F.xxhash64("rep", F.lit(k))]
-            pivot = at.groupBy("key").agg(F.max(F.struct(*order, F.struct("rep", "component", "n", "common").alias("it"))).alias("p")).select("key", "p.it.*")
-        else:
-            # Members carry their keys, so that a pair is made in the first bucket that both are in, and in no other.
-            at = at.join(classes.select("rep", "bands").distinct(), "rep")
-            pivot = at
-        pivot = pivot.select("key", *(F.col(c).alias(f"p_{c}") for c in ("rep", "component", "n", "common", *(["bands"] if k == pivot_rounds else []))))
-        both = F.least("common", "p_common")
-        more = at.join(pivot, "key").where((F.col("component") != F.col("p_component")) & ((F.col("rep") < F.col("p_rep")) & first_meeting(F.col("bands"), F.col("p_bands"), F.col("key")) if k == pivot_rounds else F.lit(True)) & (100 * both >= threshold * (F.col("n") + F.col("p_n") - both)))
-        more = more.select(F.least("p_rep", "rep").alias("a"), F.greatest("p_rep", "rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        now = written(confirm(more, sets, threshold), "tested")
-        if now.limit(1).count():
-            tested = tested.union(now)
-            if now.where("linked").limit(1).count():
-                labels = components(tested.where("linked"))
+    wide = still_mixed(members.where("n > 2").select("key", "rep"), labels, "mixed")
+    room = written(shared_counts(sets, wide.select(F.col("rep").alias("id")).distinct()), "room")
+    at = wide.join(room.withColumnRenamed("id", "rep"), "rep")
+    # The middle of a bucket is the member with the fewest shingles of its own.
+    middle = at.groupBy("key").agg(F.max(F.struct(F.col("common") / F.col("n"), F.xxhash64("rep"), "rep")).alias("m")).select("key", F.col("m.rep").alias("middle"))
+    at = written(at.join(middle, "key"), "middles")
+    views = at.select(F.col("middle").alias("a"), F.col("rep").alias("b"), "common").distinct()
+    views = written(compare(views, sets, threshold), "views")
+    tested = tested.union(views.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "linked"))
+    labels = components(tested.where("linked"))
+
+    left = still_mixed(at.select("key", "rep"), labels, "left")
+    left = left.join(at.select("key", "rep", "middle", "n", "common"), ["key", "rep"]).join(views.select(F.col("a").alias("middle"), F.col("b").alias("rep"), "bits", "extra"), ["middle", "rep"])
+    # Members carry their keys, so that a pair is made in the first bucket that both are in, and in no other.
+    left = written(left.join(classes.select("rep", "bands").dropDuplicates(["rep"]), "rep"), "left")
+    other = left.select("key", *(F.col(c).alias(f"p_{c}") for c in ("rep", "component", "n", "common", "bits", "extra", "bands")))
+    rough = F.least("common", "p_common")
+    exact = F.least(rough, F.aggregate(F.zip_with("bits", "p_bits", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda x, y: x + y) + F.least("extra", "p_extra"))
+    enough = lambda both: 100 * both >= threshold * (F.col("n") + F.col("p_n") - both)
+    more = left.join(other, "key").where((F.col("rep") < F.col("p_rep")) & (F.col("component") != F.col("p_component")) & enough(rough) & enough(exact) & first_meeting(F.col("bands"), F.col("p_bands"), F.col("key")))
+    more = more.select(F.col("rep").alias("a"), F.col("p_rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    labels = components(tested.union(confirm(more, sets, threshold)).where("linked"))
 
     copies = classes.where("n > 1").select("digest", "rep")
     named = feat.select("doc_id", "n_shingles", "digest").join(copies, "digest", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
