@@ -39,11 +39,14 @@ def merge_prefixes(*maps: Column) -> Column:
     out = maps[0]
     for later in maps[1:]:
         later = F.coalesce(later, F.create_map().cast("map<string,string>"))
-        kept = F.map_filter(out, lambda k, _, m=later: ~F.map_contains_key(m, k))
-        out = F.map_concat(kept, later)
+        out = F.map_concat(_without(out, later), later)
     return out
 
 
+def _without(m: Column, other: Column) -> Column:
+    return F.map_filter(m, lambda k, _: ~F.map_contains_key(other, k))
+
+
 def is_iri(text: Column) -> Column:
     """An absolute IRI: a scheme, and none of the characters that IRIs forbid."""
     return text.rlike(_SCHEME)

@@ -41,14 +41,10 @@ def utf16_to_byte(text: Column, offset: Column) -> Column:
     """Byte offset of a place in UTF-16 units; a place within a character counts as its start."""
     # Units are characters, and one more for each character beyond the basic plane.
     chars = F.split(text, "")
-    step = F.aggregate(
-        chars,
-        F.struct(F.lit(0).alias("units"), F.lit(0).cast("long").alias("bytes")),
-        lambda a, c: F.when(
-            a["units"] + (F.octet_length(F.encode(c, "UTF-16LE")) / 2).cast("int") <= offset,
-            F.struct((a["units"] + (F.octet_length(F.encode(c, "UTF-16LE")) / 2).cast("int")).alias("units"), (a["bytes"] + F.octet_length(c)).cast("long").alias("bytes")),
-        ).otherwise(F.struct((a["units"] + 1_000_000_000).alias("units"), a["bytes"].alias("bytes"))),
-    )
+    units = lambda c: (F.octet_length(F.encode(c, "UTF-16LE")) / 2).cast("long")
+    state = lambda left, size: F.struct(left.cast("long").alias("left"), size.cast("long").alias("bytes"))
+    # A character that doesn't fit leaves nothing for those behind it.
+    step = F.aggregate(chars, state(offset, F.lit(0)), lambda a, c: F.when(a["left"] >= units(c), state(a["left"] - units(c), a["bytes"] + F.octet_length(c))).otherwise(state(F.lit(0), a["bytes"])))
     return step["bytes"]
 
 

@@ -47,13 +47,13 @@ def parse_output(text: Column, schema: str, default: bool = True) -> Column:
 
 
 def rule_entities(text: str) -> list[tuple[str, str, str, float, str]]:
-    """Capitalized words within a line `[id] text`, once each: two or more are a person, one is a thing."""
+    """Long capitalized words of a line `[id] text`, once each: two or more in a row are a person, one is a thing."""
     out = []
     for line in (text or "").split("\n"):
         m = re.match(r"\[([^\]]*)\] (.*)", line)
-        for span in dict.fromkeys(re.findall(r"(?<=[a-z,] )[A-ZÀ-Þ]\w+(?: [A-ZÀ-Þ]\w+)*", m[2])) if m else ():
+        for span in dict.fromkeys(re.findall(r"\b[A-ZÀ-Þ]\w{5,}(?: [A-ZÀ-Þ]\w+)*", m[2])) if m else ():
             pair = " " in span
-            out.append((m[1], span, "schema:Person" if pair else "schema:Thing", 0.8 if pair else 0.5, "capitalized words"))
+            out.append((m[1], span, "schema:Person" if pair else "schema:Thing", 0.8 if pair else 0.7 if len(span) > 11 else 0.5, "capitalized words"))
     return out
 
 
@@ -73,9 +73,9 @@ def summary_agent(texts: DataFrame) -> DataFrame:
 
 
 def question_agent(texts: DataFrame) -> DataFrame:
-    """A question for each line that ends with a question mark."""
-    rows = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.endswith("line", F.lit("?")))
-    return rows.select("doc_id", F.concat(F.lit("What answers: "), F.regexp_replace("line", r"^\[[^\]]*\] ", "")).alias("text"), F.regexp_extract("line", r"^\[([^\]]*)\]", 1).alias("source_block_id"), F.lit("clarification").alias("question_type"))
+    """A question for each line that asks one, and for each long line."""
+    rows = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.startswith("line", F.lit("[")) & (F.endswith("line", F.lit("?")) | (F.length("line") > 200)))
+    return rows.select("doc_id", F.concat(F.lit("What follows from: "), F.left(F.regexp_replace("line", r"^\[[^\]]*\] ", ""), F.lit(80))).alias("text"), F.regexp_extract("line", r"^\[([^\]]*)\]", 1).alias("source_block_id"), F.when(F.endswith("line", F.lit("?")), "clarification").otherwise("exploration").alias("question_type"))
 
 
 def run_agents(blocks: DataFrame, agents: dict[str, Callable[[DataFrame], DataFrame]] | None = None, threshold: float = THRESHOLD) -> DataFrame:

@@ -34,7 +34,7 @@ def effective_end(end: Column, source: Column) -> Column:
 
 def shift(start: Column, end: Column, delta: Column) -> tuple[Column, Column]:
     """Both ends moved, not below 0; an open end stays open."""
-    return F.greatest(start + delta, F.lit(0)), F.greatest(end + delta, F.lit(0))
+    return F.greatest(start + delta, F.lit(0)), F.when(end.isNotNull(), F.greatest(end + delta, F.lit(0)))
 
 
 def verify_snippet(start: Column, end: Column, snippet: Column, source: Column) -> Column:

@@ -30,6 +30,10 @@ def adjust(start: Column, end: Column, status: Column, ops: Column) -> Column:
     """
     state = F.struct(start.cast("long").alias("s"), end.cast("long").alias("e"), status.cast("int").alias("st"))
 
+    def floor(x: Column, least: Column) -> Column:
+        # `greatest` skips nulls: an open end must stay null.
+        return F.when(x.isNotNull(), F.greatest(x, least))
+
     def step(a: Column, o: Column) -> Column:
         s, e, st, at, old, new = a["s"], a["e"], a["st"], o["at"], o["old_len"], o["new_len"]
         is_open, stop, grow = e.isNull(), at + old, new - old
@@ -41,16 +45,16 @@ def adjust(start: Column, end: Column, status: Column, ops: Column) -> Column:
         insert = F.when(at <= s, to(s + new, e + new, st)).when(~is_open & (at < e), to(s, e + new, worse)).otherwise(a)
         gone = F.lit(DETACHED)
         delete = (
-            F.when(stop <= s, to(F.greatest(s - old, F.lit(0)), F.greatest(e - old, F.lit(0)), st))
+            F.when(stop <= s, to(F.greatest(s - old, F.lit(0)), floor(e - old, F.lit(0)), st))
             .when(~is_open & (at == s) & (stop == e), to(at, at, gone))
             .when(~is_open & (at >= s) & (stop <= e), to(s, e - old, worse))
             .when(~is_open & (at <= s) & (stop >= e), to(at, at, gone))
-            .when((at < s) & (stop > s), to(at, F.greatest(e - old - (s - at), at), worse))
+            .when((at < s) & (stop > s), to(at, floor(e - old - (s - at), at), worse))
             .when(~is_open & (at < e) & (stop > e), to(s, at, worse))
             .otherwise(a)
         )
         replace = (
-            F.when(stop <= s, to(F.greatest(s + grow, F.lit(0)), F.greatest(e + grow, F.lit(0)), st))
+            F.when(stop <= s, to(F.greatest(s + grow, F.lit(0)), floor(e + grow, F.lit(0)), st))
             .when((at >= s) & is_open, to(s, e, worse))
             .when((at >= s) & (stop <= e), to(s, e + grow, worse))
             .otherwise(to(s, e, worse))
@@ -80,7 +84,7 @@ def adjust_exact(start: Column, end: Column, status: Column, ops: Column) -> Col
     touched = F.exists(ops, lambda o: F.when(o["op"] == "I", (o["at"] > start) & (o["at"] < end)).otherwise((o["at"] < end) & (o["at"] + o["old_len"] > start)))
     s, e = moved(start, False), moved(end, True)
     st = F.when(status == DETACHED, status).when(covered & end.isNotNull(), F.lit(DETACHED)).when(touched, F.greatest(status, F.lit(STALE))).otherwise(status)
-    return F.struct(s.cast("long").alias("span_start"), F.greatest(s, e).cast("long").alias("span_end"), st.cast("tinyint").alias("status"))
+    return F.struct(s.cast("long").alias("span_start"), F.when(end.isNotNull(), F.greatest(s, e)).cast("long").alias("span_end"), st.cast("tinyint").alias("status"))
 
 
 def merge_ops(ops: Column) -> Column:
