@@ -77,8 +77,9 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     leaves = leaves.withColumn("room", F.col("tokens") * mix.max_epochs)
     langs = leaves.groupBy("domain", "lang").agg(F.sum("room").alias("room"))
     domains = langs.groupBy("domain").agg(F.sum("room").alias("room"))
-    total = leaves.agg(F.expr(f"coalesce(sum(tokens), 0) * {mix.share} div 100").alias("budget"))
-    top = share_out(domains.withColumn("weight", mix.weight("domain", F.col("domain"))).crossJoin(F.broadcast(total)), [], "domain")
+    # One number goes to the driver: the budget of the tree's root.
+    total = leaves.agg(F.expr(f"coalesce(sum(tokens), 0) * {mix.share} div 100")).first()[0]
+    top = share_out(domains.withColumn("weight", mix.weight("domain", F.col("domain"))).withColumn("budget", F.lit(total).cast("long")), [], "domain")
     mid = share_out(langs.withColumn("weight", mix.weight("lang", F.col("lang"))).join(top, "domain"), ["domain"], "lang")
     return share_out(leaves.withColumn("weight", mix.weight("source", F.col("source"))).join(mid, ["domain", "lang"]), ["domain", "lang"], "source")
 

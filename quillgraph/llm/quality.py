@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
 
     rows = sized_join(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")), chosen, ["id"], "inner", most)
     got = rows.select("id", "text", "label").mapInArrow(run, "id long, label int, x binary").toPandas().sort_values(["id", "label", "x"])
-    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), -1)
+    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), DIMENSIONS + 1)
     return train(x, got["label"].to_numpy())
 
 

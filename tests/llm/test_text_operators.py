@@ -1,0 +1,219 @@
+"""Token counts, token files, packing, media, pseudonyms, quality: brute force, round trips, odd rows."""
+
+import hashlib
+import io
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from quillgraph.llm import media, packing, pii, quality, tokencount, tokenfile, tokens
+
+ODD = ["", None, "  a", " a b", "a \n b", "a\n\nb", "a\tb c", "x<|endoftext|> y <|endoftext|>", "a  b   c ", "\n", "\na", "a\n", "日本 語　x", "it's don't  we'll", "a\xa0b c", "\x1c a b", " ", "▁a ▁ b", "<s> a </s>", "x" * 3000 + " y", "é́ a", "Hello world.\nNext line", "Hello world.\nNext line"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd texts with a null id, a repeated row, and columns that operators use inside."""
+    rows = [(None if i == 5 else i, t, "en", "src0", 7, 1.5) for i, t in enumerate(ODD)] + [(0, "", "en", "src0", 7, 1.5)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, rank int, score double")
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return tokens.IdEncoder(tokens.tokenizer_path("byte_bpe_50k.json"))
+
+
+def whole(encoder, text):
+    return encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab '\n\té.,1　<|endoftext|>", max_size=40))
+def test_ids_equal_the_library(encoder, text):
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == whole(encoder, text)
+
+
+def test_cached_ids_equal_the_library(encoder):
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(ODD)] == [whole(encoder, t) for t in ODD]
+
+
+def test_piece_counts_equal_the_library():
+    counter = tokens.PieceCounter(tokens.tokenizer_path("piece_bpe_32k.model"), {"never": 2})
+    assert counter.splits
+    for _ in range(2):
+        assert counter.counts(ODD) == [len(counter.model.encode(t or "")) for t in ODD]
+
+
+@pytest.mark.parametrize("name", ["piece_bpe_32k.model", "byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_token_counts(spark, odd, name):
+    rows = tokencount.count_tokens(odd, name, limit=3).collect()
+    assert len(rows) == len(ODD) + 1
+    if name.endswith("50k.json"):
+        enc = tokens.IdEncoder(tokens.tokenizer_path(name))
+        expected = sorted(len(whole(enc, t)) for t in [*ODD, ""])
+        assert sorted(r["n_tokens"] for r in rows) == expected
+    assert all(r["over_limit"] == (r["n_tokens"] > 3) for r in rows)
+    assert tokencount.count_tokens(odd.where("1 = 0"), name).count() == 0
+
+
+def test_token_files(spark, odd, encoder):
+    rows = tokenfile.tokenize_to_files(odd, rows_per_file=5).collect()
+    assert sum(r["n_tokens"] for r in rows) == sum(len(whole(encoder, t)) + 1 for t in [*ODD, ""])
+    in_order = sorted(rows, key=lambda r: r["start"])
+    assert [r["start"] for r in in_order] == np.cumsum([0, *(r["n_tokens"] for r in in_order)])[:-1].tolist()
+    ids = [r["doc_id"] for r in in_order]
+    assert ids[0] is None and ids[1:] == sorted(ids[1:])
+    one = next(r for r in rows if r["doc_id"] == 7)
+    assert one["ids_crc32"] == zlib.crc32(np.array([*whole(encoder, ODD[7]), 0], "<u4").tobytes())
+    assert tokenfile.tokenize_to_files(odd.where("1 = 0")).count() == 0
+
+
+class Bytes(io.BytesIO):
+    def size(self):
+        return len(self.getvalue())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=20), max_size=8))
+def test_random_access(docs):
+    out = Bytes()
+    w = tokenfile.Writer(out, block_tokens=7)
+    for i, d in enumerate(docs):
+        w.add(i, np.array(d, np.uint32))
+    w.close()
+    r = tokenfile.Reader(out)
+    assert [(i, d.tolist()) for i, d in r.documents()] == list(enumerate(docs))
+    flat = [x for d in docs for x in d]
+    assert [r.token(i) for i in range(len(flat))] == flat
+
+
+def test_packing(spark, odd, encoder):
+    rows = packing.pack(odd, capacity=64).collect()
+    expected = sorted(len(whole(encoder, t)) + 1 for t in [*ODD, ""])
+    by_doc = {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+    long = by_doc[19]
+    assert sum(r["length"] for r in long) == max(expected) and all(r["length"] == 64 for r in long if r["piece"])
+    by_sequence = {}
+    for r in rows:
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert sum(r["length"] for r in rows) == sum(expected)
+    assert packing.pack(odd.where("1 = 0")).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 40), max_size=12))
+def test_plan_holds_every_piece(histogram):
+    fillings = packing.plan(histogram, 30, rounds=20)
+    held = {}
+    for filling, times in fillings:
+        assert times > 0 and sum(l * n for l, n in filling.items()) <= 30
+        for l, n in filling.items():
+            held[l] = held.get(l, 0) + n * times
+    assert held == histogram
+    volume = sum(l * n for l, n in histogram.items())
+    # Never more than twice the volume bound, as any filling but the last is over half full.
+    assert sum(t for _, t in fillings) <= max(1, -(-2 * volume // 30))
+
+
+def test_media(spark, odd):
+    rows = media.texts_as_media(odd).collect()
+    assert len(rows) == len(ODD) + 1
+    for r in rows:
+        if r["doc_id"] is not None:
+            raw = (ODD[r["doc_id"]] or "").encode()
+            payload = media.padded(raw)
+            assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload)) and len(payload) % 64 == 0 and payload
+            assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
+            assert r["media_sha256"] == hashlib.sha256(media.to_wave(payload)).hexdigest()
+    assert len({tuple(r)[1:] for r in rows if r["doc_id"] in (21, 22)}) == 1
+    assert media.texts_as_media(odd.where("1 = 0")).count() == 0
+
+
+def test_members_are_retried_by_offset(spark, odd, monkeypatch, tmp_path):
+    folder = f"file://{tmp_path}/media"
+    media.write_archives(odd.coalesce(1), folder)
+    reader = media.MediaReader({"path": folder, "rangebytes": "400"})
+    parts = reader.partitions()
+    assert len(parts) > 1
+    real, failed = media.read_member, set()
+
+    def flaky(source, offset, *rest):
+        if offset not in failed:
+            failed.add(offset)
+            raise OSError
+        return real(source, offset, *rest)
+
+    monkeypatch.setattr(media, "read_member", flaky)
+    names = [n for p in parts for b in reader.read(p) for n in b.column(2).to_pylist()]
+    assert len(names) == len(set(names)) == len(ODD) + 1 and len(failed) == len(names)
+
+
+def test_permutations_are_permutations():
+    for size in (2, 3, 10, 97, 1000):
+        image = [pii.permute(b"k", "t", i, size) for i in range(size)]
+        assert sorted(image) == list(range(size))
+        assert [pii.permute(b"k", "t", i, size, undo=True) for i in image] == list(range(size))
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [("4111 1111 1111 1111", "card"), ("9807915762804490", "card"), ("+1 (017) 555-7713", "phone"), ("10.20.30.40", "ip"), ("078-05-1120", "ssn"), ("GB82 WEST 1234 5698 7654 32", "iban"), ("2020-02-29", "date"), ("31/12/1999", "date"), ("12/31/1999", "date"), ("jo.smith5@mail.example.com", "email")],
+)
+def test_pseudonyms(text, kind):
+    new, found = pii.pseudonymize(f"see {text}, ok", b"key")
+    value = new[4:-4]
+    assert [f[0] for f in found] == [kind] and value != text and new.startswith("see ") and new.endswith(", ok")
+    shape = lambda s: "".join("9" if c.isdigit() else c for c in s)
+    if kind not in ("email", "ip"):
+        assert shape(value) == shape(text)
+    # The pseudonym is as valid as the value, the same everywhere, and can be undone.
+    back, again = pii.pseudonymize(new, b"key", undo=True)
+    assert back == f"see {text}, ok" and [f[0] for f in again] == [kind]
+    assert pii.pseudonymize(f"other {text}", b"key")[0] == f"other {value}"
+    assert pii.pseudonymize(f"other {text}", b"key2")[0] != f"other {value}"
+
+
+def test_pii_leaves_the_rest_alone(spark, odd):
+    clean = "Version 2.0. The 3 licences, 999.1.2.3 and 2021-13-40 cost 12,50."
+    assert pii.pseudonymize(clean, b"k") == (clean, [])
+    text = 'token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"'
+    assert pii.pseudonymize(text, b"k")[0] != text
+    rows = pii.find_pii(odd, "k").collect()
+    assert sorted(str(r["text"]) for r in rows) == sorted(str(t) for t in [*ODD, ""])
+    kept = pii.replace_pii(odd, "k")
+    assert kept.schema == odd.schema and kept.count() == odd.count()
+    assert pii.find_pii(odd.where("1 = 0"), "k").count() == 0
+
+
+def test_quality_learns(spark, odd):
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(600):
+        good = i % 3 > 0
+        ws = rng.choice(words, rng.integers(20, 60))
+        rows.append((i, " ".join(ws if good else [w.upper() + "!!" for w in ws])))
+        labels.append((i, int(good)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    out = {r["doc_id"]: r for r in quality.classify(docs, known).collect()}
+    held = [i for i in out if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert {i for i, r in out.items() if r["held_out"]} == set(held)
+    assert np.mean([out[i]["predicted"] == labels[i][1] for i in held]) > 0.97
+    # Labels of held-out rows change nothing.
+    other = known.withColumn("quality", F.when(quality.held_out("doc_id"), 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert {r["doc_id"]: r["score"] for r in quality.classify(docs, other).collect()} == {i: r["score"] for i, r in out.items()}
+    assert quality.classify(odd, known).count() == odd.count() and quality.classify(odd.where("1 = 0"), known).count() == 0
+    assert {r["score"] for r in quality.classify(odd, known.where("1 = 0")).collect()} == {1.0}
