@@ -127,7 +127,7 @@ WITH RECURSIVE o AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_o
         WHEN op = 'D' THEN CASE WHEN at_ + old <= s THEN greatest(s - old, 0) WHEN e IS NOT NULL AND at_ = s AND at_ + old = e THEN at_ WHEN e IS NOT NULL AND at_ >= s AND at_ + old <= e THEN s
              WHEN e IS NOT NULL AND at_ <= s AND at_ + old >= e THEN at_ WHEN at_ < s THEN at_ ELSE s END
         WHEN at_ + old <= s THEN greatest(s + new - old, 0) ELSE s END,
-   CASE WHEN st = 2 OR e IS NULL THEN e WHEN op = 'I' THEN CASE WHEN at_ < e THEN e + new ELSE e END
+   CASE WHEN st = 2 OR e IS NULL THEN e WHEN op = 'I' THEN CASE WHEN at_ <= s OR at_ < e THEN e + new ELSE e END
         WHEN op = 'D' THEN CASE WHEN at_ + old <= s THEN greatest(e - old, 0) WHEN at_ = s AND at_ + old = e THEN at_ WHEN at_ >= s AND at_ + old <= e THEN e - old
              WHEN at_ <= s AND at_ + old >= e THEN at_ WHEN at_ < s AND at_ + old > s THEN greatest(e - old - (s - at_), at_) WHEN at_ < e AND at_ + old > e THEN at_ ELSE e END
         WHEN at_ + old <= s THEN greatest(e + new - old, 0) WHEN at_ >= s AND at_ + old <= e THEN e + new - old ELSE e END,
