@@ -19,6 +19,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.shared import sized_join, slices, written
 
-#: Permutations, values in a band: 2 * PERMUTATIONS / ROWS bands. A pair at 0.85 is missed with probability 1e-6.
-PERMUTATIONS = 60
+#: Values in a band, and with what probability a pair right at the threshold may share no band.
 ROWS = 5
+MISS = 1e-6
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -111,7 +112,13 @@ def min_max(shingles: np.ndarray, permutations: int) -> tuple[np.ndarray, np.nda
     return least, most
 
 
-def band_keys(shingles: np.ndarray, permutations: int = PERMUTATIONS, rows: int = ROWS) -> np.ndarray:
+def permutations_for(threshold: int, rows: int = ROWS, miss: float = MISS) -> int:
+    """Permutations that find a pair at the threshold (in percent) with probability 1 - miss; each gives two values."""
+    bands = math.log(miss) / math.log1p(-((threshold / 100) ** rows)) if threshold < 100 else 1
+    return rows * math.ceil(bands / 2)
+
+
+def band_keys(shingles: np.ndarray, permutations: int, rows: int = ROWS) -> np.ndarray:
     """One key for each band of the signature; bands of least values first, then of greatest."""
     bands = np.concatenate(min_max(shingles, permutations)).reshape(-1, rows)
     keys = np.arange(len(bands), dtype=np.uint64) * _TERMS[14]
@@ -249,7 +256,7 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
         stars = written(small.where("u <> v").distinct(), name)
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, permutations: int | None = None, rows: int = ROWS) -> DataFrame:
     """One row per row of `docs` (doc_id, text): n_shingles, component_id, kept.
 
     Documents are linked if 100 * intersection >= threshold * union of their
@@ -263,7 +270,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, permut
     repeated rows with one doc_id are one document; an empty table gives an empty
     one; other columns are ignored.
     """
-    feat = written(features(docs, width, permutations, rows), "shingles")
+    feat = written(features(docs, width, permutations or permutations_for(threshold, rows), rows), "shingles")
     known = feat.where("digest is not null and doc_id is not null")
     classes = known.groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("first"), F.count("*").alias("n"))
     classes = written(classes.select("digest", F.col("first.doc_id").alias("rep"), F.col("first.bands").alias("bands"), "n"), "classes")
