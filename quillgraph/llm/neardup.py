@@ -39,7 +39,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _RANDOM = np.random.default_rng(20240229)
 _BYTES = _RANDOM.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _RANDOM.integers(1, 1 << 63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
-_PERMUTE = _RANDOM.integers(1, 1 << 63, 1024, np.uint64) * np.uint64(2) + np.uint64(1)
+_PERMUTE = _RANDOM.integers(1, 1 << 63, 8192, np.uint64) * np.uint64(2) + np.uint64(1)
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _POWERS: dict[int, np.ndarray] = {}
