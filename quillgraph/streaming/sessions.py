@@ -66,25 +66,25 @@ def fire_times(times: list[int], pause: int, most: int) -> list[tuple[int, int]]
 
 
 def debounce_most(updates: DataFrame, key: str, value: str, time_ms: str, pause: int = CALLBACK_PAUSE, most: int = CALLBACK_MOST) -> DataFrame:
-    """Callbacks (key, fired_ms, value) with a longest wait. An open wait is kept as state and goes on in the next batch."""
+    """Callbacks (key, fired_ms, value) with a longest wait, in the updates' own time.
+
+    The wait that is open when a batch ends is kept as state; the next update of its
+    key shows whether it had fired before.
+    """
     kind = updates.schema[value].dataType.simpleString()
     schema = f"{key} {updates.schema[key].dataType.simpleString()}, fired_ms long, {value} {kind}"
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(batches).sort_values([time_ms, value], kind="stable") if not state.hasTimedOut else pd.DataFrame({time_ms: [], value: []})
+        rows = pd.concat(batches).sort_values([time_ms, value], kind="stable")
         held = list(zip(*state.get)) if state.exists else []
         all_rows = sorted(held + list(zip(rows[time_ms].tolist(), rows[value].tolist())), key=lambda r: r[0])
         fired = fire_times([t for t, _ in all_rows], pause, most)
-        done = fired if state.hasTimedOut else fired[:-1]
-        rest = [] if state.hasTimedOut else all_rows[(fired[-2][0] + 1 if len(fired) > 1 else 0) :]
-        if rest:
-            state.update(([t for t, _ in rest], [v for _, v in rest]))
-            state.setTimeoutDuration(most)
-        else:
-            state.remove()
+        done = fired[:-1]
+        rest = all_rows[(done[-1][0] + 1 if done else 0) :]
+        state.update(([t for t, _ in rest], [v for _, v in rest]))
         yield pd.DataFrame({key: [k[0]] * len(done), "fired_ms": [t for _, t in done], value: [all_rows[i][1] for i, _ in done]})
 
-    return updates.select(key, time_ms, value).groupBy(key).applyInPandasWithState(run, schema, f"times array<long>, held array<{kind}>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return updates.select(key, time_ms, value).groupBy(key).applyInPandasWithState(run, schema, f"times array<long>, held array<{kind}>", "append", GroupStateTimeout.NoTimeout)
 
 
 def replay(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
