@@ -184,6 +184,9 @@ def cascade_relationship_status(spark, sf):
     return sync.cascade(e, t).select("doc_id", "entity_id", F.col("status").cast("int").alias("status"))
 
 
+ALL["status_cascade_join"] = ALL["cascade_relationship_status"]
+
+
 @query("cascade_max", f"WITH {GRAPH_SQL} SELECT t.doc_id, t.subject, max(e.status)::INTEGER AS worst FROM tri t JOIN ent e ON e.doc_id = t.doc_id AND e.entity_id = t.object_value WHERE object_kind = 'entity' GROUP BY ALL")
 def cascade_max(spark, sf):
     e, t = corpus.order_graph(spark, sf)

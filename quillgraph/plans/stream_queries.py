@@ -105,3 +105,15 @@ def session_registry(spark, sf):
 @query("session_state", f"WITH {UPDATES_SQL} SELECT doc_id, CASE WHEN k % 2 = 0 THEN 'Hi ' ELSE '' END || c_name || ' here' AS source FROM u WHERE k % 5 <> 0")
 def session_state(spark, sf):
     return run_sessions(spark, sf)[0].table("docs")
+
+
+@query("stream_reconnect", "SELECT c_custkey FROM customer")
+def stream_reconnect(spark, sf):
+    """A stream that stops and starts again from its checkpoint, with more data there: each row once."""
+    source, out, marks = (work_dir(spark, f"reconnect-{n}") for n in ("in", "out", "marks"))
+    customers = table(spark, sf, "customer").select("c_custkey")
+    for half in (0, 1):
+        customers.where(F.col("c_custkey") % 2 == half).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(customers.schema).parquet(source)
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(customers.schema).parquet(out)

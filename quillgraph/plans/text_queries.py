@@ -309,3 +309,17 @@ def sink_init_template(spark, sf):
 def sink_overlay_init(spark, sf):
     made = files.empty_sidecars(customer_documents(spark, sf))
     return made.select("doc_id", F.regexp_count("text", F.lit("@")).cast("long").alias("n_lines"))
+
+
+@query("list_types", "SELECT prefix, type FROM (VALUES ('foaf', 'Agent'), ('foaf', 'Document'), ('foaf', 'Image'), ('foaf', 'Organization'), ('foaf', 'Person')) t(prefix, type)")
+def list_types(spark, sf):
+    return Registry().types(spark).where("prefix = 'foaf'").select("prefix", "type")
+
+
+@query("search_limit", "SELECT count(*) AS n FROM range(3)")
+def search_limit(spark, sf):
+    return Registry().search_types(spark, "e", limit=3).agg(F.count("*").alias("n"))
+
+
+ALL["sort_prefixes"] = ALL["prefix_iter"]
+ALL["ext_ontology_provider"] = ALL["registry_register"]
