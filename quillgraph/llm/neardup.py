@@ -303,7 +303,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, permut
     rough = F.least("common", "p_common")
     exact = F.least(rough, F.aggregate(F.zip_with("bits", "p_bits", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda x, y: x + y) + F.least("extra", "p_extra"))
     enough = lambda both: 100 * both >= threshold * (F.col("n") + F.col("p_n") - both)
-    more = left.join(other, "key").where((F.col("rep") < F.col("p_rep")) & (F.col("component") != F.col("p_component")) & enough(rough) & enough(exact) & first_meeting(F.col("bands"), F.col("p_bands"), F.col("key")))
+    more = left.join(other, "key").where((F.col("rep") < F.col("p_rep")) & (F.col("component") != F.col("p_component")) & enough(rough) & first_meeting(F.col("bands"), F.col("p_bands"), F.col("key")) & enough(exact))
     more = more.select(F.col("rep").alias("a"), F.col("p_rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     labels = components(tested.union(confirm(more, sets, threshold)).where("linked"))
 
