@@ -55,7 +55,7 @@ def indexed(entities: DataFrame) -> DataFrame:
     return entities.where((F.col("status") != DETACHED) & (F.col("span_end").isNull() | (F.col("span_start") < F.col("span_end"))))
 
 
-def interval_join(left: DataFrame, right: DataFrame, key: str, left_span: tuple[str, str], right_span: tuple[str, str], width: int = 4096, right_rows_max: int = 4) -> DataFrame:
+def interval_join(left: DataFrame, right: DataFrame, key: str, left_span: tuple[str, str], right_span: tuple[str, str], width: int = 4096) -> DataFrame:
     """Pairs of rows of one key whose spans overlap; column names of the two sides must differ but for the key.
 
     Spans are dealt to bins of `width` bytes, so rows meet by (key, bin) in a plain

@@ -305,7 +305,7 @@ def sink_init_template(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", F.regexp_extract(files.template(kind), r'"@type": schema:(\w+)', 1).alias("kind"))
 
 
-@query("sink_overlay_init", f"""SELECT c_custkey::VARCHAR AS doc_id, 4::BIGINT AS n_lines FROM customer""")
+@query("sink_overlay_init", "SELECT c_custkey::VARCHAR AS doc_id, 4::BIGINT AS n_lines FROM customer")
 def sink_overlay_init(spark, sf):
     made = files.empty_sidecars(customer_documents(spark, sf))
     return made.select("doc_id", F.regexp_count("text", F.lit("@")).cast("long").alias("n_lines"))

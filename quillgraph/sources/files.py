@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import sidecar_path
-from quillgraph.sources.markdown import split_header  # noqa: F401  part of this module's surface
 
 SIDECAR = "sem"
 
@@ -38,8 +37,7 @@ def scan_workspace(spark: SparkSession, path: str, extension: str = SIDECAR) ->
     name or in place of its suffix.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    root = F.length(F.lit(path.rstrip("/")))
-    shown = listed.where(~F.regexp_replace("path", r"^file:/*", "/").rlike(r"/\.[^/]*/") | (root < 0))
+    shown = listed.where(~F.regexp_replace("path", r"^file:/*", "/").rlike(r"/\.[^/]*/"))
     docs = shown.where(F.endswith("path", F.lit(".md")))
     sides = listed.where(F.endswith("path", F.lit(f".{extension}"))).select("path")
     a, b = (sidecar_path(F.col("path"), extension, keep).alias(n) for keep, n in ((True, "a"), (False, "b")))
@@ -61,7 +59,7 @@ def previous_versions(versions: DataFrame) -> DataFrame:
     return versions.select("doc_id", "version", F.lag("source").over(order).alias("old_source"), F.col("source").alias("new_source"))
 
 
-def template(kind) -> F.col:
+def template(kind: Column) -> Column:
     """The template of a kind; unknown kinds have the article's."""
     known = F.create_map(*(F.lit(x) for p in TEMPLATES.items() for x in p))
     return F.coalesce(F.try_element_at(known, kind), F.lit(TEMPLATES["article"]))
