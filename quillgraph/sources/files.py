@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +39,8 @@ def scan_workspace(spark: SparkSession, path: str, extension: str = SIDECAR) ->
     name or in place of its suffix.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    shown = listed.where(~F.regexp_replace("path", r"^file:/*", "/").rlike(r"/\.[^/]*/"))
+    below = F.regexp_replace("path", r"^\w*:?/*" + re.escape(re.sub(r"^\w*:?/*", "", path).rstrip("/")), "")
+    shown = listed.where(~below.rlike(r"/\.[^/]*/"))
     docs = shown.where(F.endswith("path", F.lit(".md")))
     sides = listed.where(F.endswith("path", F.lit(f".{extension}"))).select("path")
     a, b = (sidecar_path(F.col("path"), extension, keep).alias(n) for keep, n in ((True, "a"), (False, "b")))
