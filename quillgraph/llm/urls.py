@@ -17,22 +17,38 @@ from pyspark.sql import functions as F
 #: (verdict, host and path) of the rules that the query uses.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
-#: Labelled URLs: 1 is blocked. Hosts that sell, bet, track or spam against ordinary ones.
-LABELLED = [
-    (1, f"{scheme}://{host}/{path}")
-    for host, scheme in (
-        ("www.cheap-pills.example.com", "http"), ("cheap-meds24.example.org", "https"), ("casino-win.example.net", "http"), ("www.casino-royal.example.com", "https"), ("free-bets.example.org", "https"), ("m.free-spins.example.com", "http"),
-        ("ads-track.example.org", "https"), ("ad-server9.example.net", "http"), ("spam-farm.example.org", "https"), ("link-farm.example.com", "http"), ("adult-x.example.net", "https"), ("xxx-cams.example.org", "http"), ("buy-followers.example.com", "https"), ("best-loans-now.example.net", "http"),
-    )
-    for path in ("en/728?utm_source=feed", "fr/176/", "en/450?page=2&ref=x", "de/63.html", "es/9", "en/27#top")
-] + [
-    (0, f"{scheme}://{host}/{path}")
-    for host, scheme in (
-        ("tribune.example.com", "https"), ("www.gardening.example.org", "https"), ("blog.alpinist.example.net", "http"), ("m.weather.example.com", "http"), ("library.example.org", "https"), ("www.theren.example.net", "https"), ("blog.nation.example.com", "https"),
-        ("museum.example.net", "http"), ("thether.example.org", "http"), ("www.cooking.example.com", "https"), ("blog.station.example.org", "https"), ("m.orchestra.example.net", "http"), ("tionther.example.com", "https"), ("university.example.org", "http"),
-    )
-    for path in ("en/528?utm_source=feed", "fr/376/", "en/850?page=2&ref=x", "de/163.html", "es/19", "en/227#top")
-]
+#: Hosts that sell, bet, track or spam against ordinary ones. Either kind has plain and hyphenated names, with and without digits, under all
+#: suffixes, so no one feature gives the label. Of the hosts of `pages` only www.cheap-pills.example.com is among them.
+BLOCKED_HOSTS = (
+    "www.cheap-pills.example.com cheap-meds24.example.org www.casino-royal.example.com m.free-spins.example.com ad-server9.example.net link-farm.example.com xxx-cams.example.org buy-followers.example.com best-loans-now.example.net fast-cash-now.example.top hot-deals4u.example.xyz"
+    " win-big-prizes.example.click pillstore.example.com slots777.example.net luckybets.example.org x7k2q9ztv.example.top trk01.example.xyz clickpay.example.com cdn4adz.example.net dating247.example.com freemoviez.example.click b1tcash.example.top super-slots-online.example.net cheapmeds365.example.com bet-now-bonus7.example.com 5starcasino.example.org clk77x.example.net freegiftcards4you.example.com m.xtrafollowers.example.net wwwloginverify.example.click track3r-pro.example.com adz0ne9.example.org discountpillsonline.example.com m.jackpotcity88.example.com t0rrentz.example.xyz getrichquick.example.com"
+    " replicawatch.example.org megabonus88.example.net q8w3e5r1.example.xyz popads.example.org viagramart.example.com lotto4free.example.top spamhub.example.net instaloans.example.com hackedkeys.example.xyz poker99.example.com r4nd0mtrk.example.click"
+).split()
+ALLOWED_HOSTS = (
+    "tribune.example.com www.gardening.example.org blog.alpinist.example.net m.weather.example.com library.example.org www.theren.example.net blog.nation.example.com museum.example.net thether.example.org www.cooking.example.com blog.station.example.org m.orchestra.example.net"
+    " tionther.example.com university.example.org city-library.example.org www.north-coast.example.com blog.slow-food.example.net bird-watching.example.org m.evening-post.example.com st-marys-school.example.net open-source.example.org daily-news.example.com well-being.example.top"
+    " radio4.example.com www.channel5.example.net route66.example.org blog.studio54.example.com school.example.com www.hospital.example.org m.theatre.example.net news.example.org www.travel.example.net garden-club.example.com blog.old-maps.example.org m.tide-tables.example.com recipes.example.net www.astronomy.example.com parish-church.example.net blog.knitting.example.org m.trains.example.com m.formula1.example.net area51-museum.example.org weather24.example.com harbour.example.top bakery.example.xyz chess-club.example.xyz photos.example.click"
+).split()
+#: Paths of either kind: more long keys and parameters for blocked hosts, fewer for the others; half are common to both. {n} and {k} differ by host.
+COMMON_PATHS = ("en/{n}?utm_source=feed", "fr/{n}/", "de/{n}.html", "es/{n}", "en/{n}?page=2&ref=x", "en/{n}#top")
+BLOCKED_PATHS = (*COMMON_PATHS, "go/{k}?aff={n}&sub=a9&clk={n}&src=x", "r/x9Qz{n}Lk2Vt8Bw4?id={k}&k=1&t=9", "out.php?u={k}&z=44&p=1&s=2&q=3", "{k}/{k}", "en/{n}?sid={k}", "w/{n}/aZ3kQ9/{k}.exe")
+ALLOWED_PATHS = (*COMMON_PATHS, "archive/2019/04/summer-festival-report?print=1&lang=en&size=a4", "about/history/the-first-years", "search?q=winter+opening+hours", "", "en/topics/{n}", "contact.html#map")
+
+
+def labelled_urls(blocked: list[str], allowed: list[str]) -> list[tuple[int, str]]:
+    """(label, URL) for each host and path: 1 is blocked. The scheme alternates and says nothing."""
+    out = []
+    for label, hosts, paths in ((1, blocked, BLOCKED_PATHS), (0, allowed, ALLOWED_PATHS)):
+        for i, host in enumerate(hosts):
+            for j, path in enumerate(paths):
+                at = 1 + (7919 * (i + 1) * (j + 3)) % 9973
+                out.append((label, f"{('http', 'https')[(i + j) % 2]}://{host}/{path.format(n=at, k=104729 * at)}"))
+    return out
+
+
+#: Every fourth host of either kind is held out from fitting, to measure the trees.
+LABELLED = labelled_urls([h for i, h in enumerate(BLOCKED_HOSTS) if i % 4 != 3], [h for i, h in enumerate(ALLOWED_HOSTS) if i % 4 != 3])
+HELD_OUT = labelled_urls(BLOCKED_HOSTS[3::4], ALLOWED_HOSTS[3::4])
 #: Labelled rows that are fitted, at most: those with the smallest hash.
 MOST_LABELLED = 20_000
 

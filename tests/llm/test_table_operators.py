@@ -151,6 +151,20 @@ def test_trees_are_what_they_say(spark):
         assert r["value"] == pytest.approx(total)
 
 
+def test_trees_use_more_than_hyphens(spark):
+    """Hyphens don't give the label, several features decide, and hosts that weren't fitted are mostly told apart."""
+    for label in (0, 1):
+        hyphens = [("-" in url.split("/")[2]) for y, url in urls.LABELLED if y == label]
+        assert 0.2 < sum(hyphens) / len(hyphens) < 0.8
+    host_of = lambda rows: {url.split("/")[2] for _, url in rows}
+    assert not host_of(urls.LABELLED) & host_of(urls.HELD_OUT)
+    model = urls.fit(spark.createDataFrame([(u, y) for y, u in urls.LABELLED], "url string, label int"))
+    assert len({f for f, *_ in model.trees}) >= 3 and len({side[0] for t in model.trees for side in t[2:]}) >= 5
+    df = spark.createDataFrame([(i, u, y) for i, (y, u) in enumerate(urls.HELD_OUT)], "page_id long, url string, label int")
+    found = urls.judge(df, rules=[]).join(df, "page_id").select(((F.col("verdict") == "block") == (F.col("label") == 1)).cast("int").alias("fine"))
+    assert found.agg(F.avg("fine")).first()[0] > 0.65
+
+
 def brute_share(budget, children):
     """Water filling: children (name, weight, room)."""
     out, left, open_ = {}, budget, list(children)
