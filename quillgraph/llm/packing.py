@@ -4,8 +4,9 @@
    numbers the pieces of each length within its task.
 2. The length histogram, at most `capacity` numbers, goes to the driver. There a
    configuration linear program (how many sequences to fill in which way) is solved
-   by multiplicative weights: knapsack dynamic programming prices the best filling,
-   rounding keeps whole fillings, and what is left is filled best-fit decreasing.
+   by multiplicative weights until every length is covered: knapsack dynamic programming
+   prices fillings, rounding makes the solution whole, and only what that leaves is
+   filled best-fit decreasing.
    Both work on the histogram, so their cost depends on `capacity`, not on the corpus.
 3. The k-th piece of a length gets the k-th slot of that length. Ranks are the number
    within the task plus a prefix sum over tasks, so no length is ever in one task.
@@ -28,9 +29,11 @@ from quillgraph.llm.tokens import worker_encoder
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
-#: Rounds of multiplicative weights, and the step of the exponent.
+#: Rounds of multiplicative weights that each bring all lengths further, and the step of the exponent.
 ROUNDS = 160
 STEP = 0.5
+#: A length is covered when so much of one slot is missing.
+NEAR = 1e-6
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
@@ -57,46 +60,70 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> D
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 
-def price(lengths: np.ndarray, value: np.ndarray, capacity: int) -> dict[int, int]:
-    """The most valuable filling of one sequence: unbounded knapsack by dynamic programming. {index of a length: copies}"""
+def price(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack by dynamic programming: the most value in each room, and the index of a length it takes (-1: none)."""
     best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     for c in range(int(lengths[0]), capacity + 1):
         n = int(np.searchsorted(lengths, c, side="right"))
         gain = best[c - lengths[:n]] + value[:n]
         k = int(gain.argmax())
         best[c], took[c] = (gain[k], k) if gain[k] > best[c - 1] else (best[c - 1], -1)
-    out: dict[int, int] = {}
-    c = capacity
+    return best, took
+
+
+def filling_with(first: int, took: list[int], sizes: list[int], capacity: int) -> dict[int, int]:
+    """The length with index `first` and the most valuable filling of the room beside it. {index of a length: copies}"""
+    out, c = {first: 1}, capacity - sizes[first]
     while c > 0:
-        if took[c] < 0:
+        if (k := took[c]) < 0:
             c -= 1
         else:
-            out[int(took[c])] = out.get(int(took[c]), 0) + 1
-            c -= int(lengths[took[c]])
+            out[k] = out.get(k, 0) + 1
+            c -= sizes[k]
     return out
 
 
-def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
-    """Fractional solution of the configuration LP: fillings and how many sequences of each.
+def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """Fractional solution of the configuration LP, and a lower bound of its value: fillings and how many sequences of each.
 
-    Covering program: every length l needs counts[l] slots. Lengths that past
-    fillings cover least have the highest weight; each round adds the filling
-    that is worth most at these weights, as often as its scarcest length allows.
+    Covering program: every length l needs counts[l] slots. In round r of R each
+    length is brought to r/R of its slots by the filling that is worth most beside
+    it at the weights of the round, as often as no other length gets more slots
+    than it needs: a length that past fillings cover ahead of its share weighs less
+    by a factor for each round ahead. What a round could not bring so far is left
+    to the next ones; they go on until every length is covered, with no tolerance
+    but that of the sums. Each pass completes a length at least, so they end.
+    Weights are dual prices: their sum over all pieces, divided by the worth of the
+    best filling, bounds the LP from below.
     """
-    covered = np.zeros(len(lengths))
+    sizes = lengths.tolist()
+    need = counts.astype(float).tolist()
+    covered = [0.0] * len(sizes)
     chosen: dict[tuple, float] = {}
-    for _ in range(rounds):
-        share = covered / counts
-        weight = np.exp(-STEP * len(lengths) ** 0.5 * (share - share.min()))
-        filling = price(lengths, weight * lengths / lengths.mean() + 1e-12, capacity)
-        index = np.fromiter(filling, int)
-        copies = np.fromiter(filling.values(), float)
-        amount = float((counts[index] / copies).min()) * 0.25
-        covered[index] += copies * amount
-        key = tuple(sorted(filling.items()))
-        chosen[key] = chosen.get(key, 0.0) + amount
-    scale = max(1.0, float((covered / counts).max()))
-    return [(dict(k), x / scale) for k, x in chosen.items()]
+    bound = float((lengths * counts).sum()) / capacity
+    r = 0
+    while (open_ := np.array([c < n - NEAR for c, n in zip(covered, need)])).any():
+        r += 1
+        share = np.array(covered) / counts
+        ahead = np.maximum(share * rounds - (r - 1), 0)
+        # Slightly more than in proportion to the length: of fillings without a gap, those of long lengths come first and short ones stay for gaps.
+        value = np.where(open_, np.exp(-STEP * ahead), 0) * lengths * (1 + 1e-3 * lengths / capacity)
+        best, took = price(lengths, value, capacity)
+        bound = max(bound, float((value * counts).sum() / best[capacity]))
+        took = took.tolist()
+        for i in range(len(sizes) - 1, -1, -1):
+            lacks = need[i] * min(r / rounds, 1) - covered[i]
+            if lacks <= NEAR:
+                continue
+            filling = filling_with(i, took, sizes, capacity)
+            amount = min(lacks / filling[i], *((need[k] - covered[k]) / n for k, n in filling.items()))
+            if amount <= 0 or any(need[k] - covered[k] <= NEAR for k in filling):
+                continue
+            for k, n in filling.items():
+                covered[k] += n * amount
+            key = tuple(sorted(filling.items()))
+            chosen[key] = chosen.get(key, 0.0) + amount
+    return [(dict(k), x) for k, x in chosen.items()], bound
 
 
 def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -119,6 +146,26 @@ def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple
     return out
 
 
+def rounded(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], int]], np.ndarray, float, float]:
+    """(whole fillings of the LP's solution, pieces left of each length, the solution's value, the LP's lower bound).
+
+    The whole solution is rounded: in order of amounts, a filling is taken as often
+    as the running sum of amounts passes a whole number, if its pieces are there
+    and fill more than half.
+    """
+    solution, bound = configurations(lengths, counts, capacity, rounds)
+    left, kept, total = counts.tolist(), [], 0.0
+    sizes = lengths.tolist()
+    for filling, x in sorted(solution, key=lambda f: (-f[1], sorted(f[0].items()))):
+        times, total = int(total + x + 0.5) - int(total + 0.5), total + x
+        times = min([times, *(left[i] // n for i, n in filling.items())])
+        if times > 0 and 2 * sum(sizes[i] * n for i, n in filling.items()) > capacity:
+            for i, n in filling.items():
+                left[i] -= n * times
+            kept.append((filling, times))
+    return kept, np.array(left, np.int64), total, bound
+
+
 def plan(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
     """Whole fillings ({length: copies}, sequences) that hold exactly the pieces of the histogram."""
     out = [({capacity: 1}, histogram[capacity])] if histogram.get(capacity) else []
@@ -126,19 +173,8 @@ def plan(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list
     if not short:
         return out
     lengths, counts = (np.array(x, np.int64) for x in zip(*short))
-    left = counts.copy()
-    kept = []
-    for filling, x in sorted(configurations(lengths, counts, capacity, rounds), key=lambda f: (-f[1], sorted(f[0].items()))):
-        times = min([int(x), *(int(left[i]) // n for i, n in filling.items())])
-        if times > 0:
-            for i, n in filling.items():
-                left[i] -= n * times
-            kept.append((filling, times))
-    rounded = kept + best_fit(lengths, left, capacity)
-    plain = best_fit(lengths, counts, capacity)
-    # Rounding loses where a histogram has few pieces of each length; the better of the two is kept.
-    used = min(rounded, plain, key=lambda p: sum(t for _, t in p))
-    return out + [({int(lengths[i]): n for i, n in filling.items()}, times) for filling, times in used]
+    kept, left, _, _ = rounded(lengths, counts, capacity, rounds)
+    return out + [({int(lengths[i]): n for i, n in filling.items()}, times) for filling, times in kept + best_fit(lengths, left, capacity)]
 
 
 def slots(fillings: list[tuple[dict[int, int], int]]) -> np.ndarray:

@@ -128,6 +128,23 @@ def test_plan_holds_every_piece(histogram):
     assert sum(t for _, t in fillings) <= max(1, -(-2 * volume // 30))
 
 
+def test_linear_program_covers_every_length():
+    """The solution holds each piece of each length, is close to its bound, and most pieces are placed by it."""
+    rng = np.random.default_rng(4)
+    lengths = np.unique(rng.integers(1, 256, 400))
+    counts = rng.integers(1, 60, lengths.size)
+    solution, bound = packing.configurations(lengths, counts, 256)
+    covered = np.zeros(lengths.size)
+    for filling, x in solution:
+        for i, n in filling.items():
+            covered[i] += n * x
+    assert np.allclose(covered, counts, atol=1e-5)
+    assert bound <= sum(x for _, x in solution) + 1e-6 and sum(x for _, x in solution) < 1.1 * bound
+    kept, left, _, _ = packing.rounded(lengths, counts, 256)
+    assert left.sum() < 0.3 * counts.sum()
+    assert sum(t for _, t in kept) + sum(t for _, t in packing.best_fit(lengths, left, 256)) < 1.1 * bound + 1
+
+
 def test_media(spark, odd):
     rows = media.texts_as_media(odd).collect()
     assert len(rows) == len(ODD) + 1
