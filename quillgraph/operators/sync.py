@@ -17,7 +17,8 @@ from quillgraph.operators.spans import DETACHED, STALE, SYNCED, verify_snippet
 
 #: op is I (insert), D (delete) or R (replace); at is a byte of the old source.
 OPS = "array<struct<op:string,at:bigint,old_len:bigint,new_len:bigint>>"
-MAX_DIFF_EDITS = 4000
+#: A diff keeps the trace of so many edits; of more it finds the middle and divides, so memory doesn't grow with their square.
+TRACED_EDITS = 1000
 
 
 def adjust(start: Column, end: Column, status: Column, ops: Column) -> Column:
@@ -99,10 +100,32 @@ def merge_ops(ops: Column) -> Column:
     return F.aggregate(ops, F.expr(f"cast(array() as {OPS})"), lambda a, o: F.when(F.size(a) == 0, F.array(o)).otherwise(step(a, o)).cast(OPS))
 
 
-def shortest_edits(old: str, new: str, most: int = MAX_DIFF_EDITS) -> list[tuple[str, int, int]]:
+def middle_snake(a: str, b: str) -> tuple[int, int, int, int]:
+    """Where shortest edit scripts from both ends meet: start and end in both texts of the common run in the middle."""
+    n, m = len(a), len(b)
+    size, skew = 2 * min(n, m) + 2, n - m
+    ahead, back = [0] * size, [0] * size
+    for d in range((n + m + 1) // 2 + 1):
+        for forward in (True, False):
+            mine, other = (ahead, back) if forward else (back, ahead)
+            for k in range(-(d - 2 * max(0, d - m)), d - 2 * max(0, d - n) + 1, 2):
+                x = mine[(k + 1) % size] if k == -d or (k != d and mine[(k - 1) % size] < mine[(k + 1) % size]) else mine[(k - 1) % size] + 1
+                y = x - k
+                x0, y0 = x, y
+                while x < n and y < m and (a[x] == b[y] if forward else a[-1 - x] == b[-1 - y]):
+                    x, y = x + 1, y + 1
+                mine[k % size] = x
+                z, most = skew - k, d - forward
+                if (n + m) % 2 == forward and -most <= z <= most and x + other[z % size] >= n:
+                    return (x0, y0, x, y) if forward else (n - x, m - y, n - x0, m - y0)
+    raise AssertionError("paths from both ends always meet")
+
+
+def shortest_edits(old: str, new: str, most: int | None = None, traced: int = TRACED_EDITS) -> list[tuple[str, int, int]]:
     """(kind, first character, characters) of a shortest edit script by the greedy O(ND) algorithm; positions in the old text.
 
-    Common ends are cut off first. Beyond `most` edits the middle is one deletion and one insertion.
+    Common ends are cut off first. Beyond `traced` edits the texts are divided at their middle snake.
+    Only if `most` is given the middle is one deletion and one insertion beyond so many edits.
     """
     head = 0
     while head < min(len(old), len(new)) and old[head] == new[head]:
@@ -114,7 +137,8 @@ def shortest_edits(old: str, new: str, most: int = MAX_DIFF_EDITS) -> list[tuple
     if not a or not b:
         return [("D", head, len(a))] * bool(a) + [("I", head, len(b))] * bool(b)
     reach, trace = {1: 0}, []
-    for d in range(min(len(a) + len(b), most) + 1):
+    limit = traced if most is None else most
+    for d in range(min(len(a) + len(b), limit) + 1):
         trace.append(dict(reach))
         for k in range(-d, d + 1, 2):
             x = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
@@ -127,7 +151,12 @@ def shortest_edits(old: str, new: str, most: int = MAX_DIFF_EDITS) -> list[tuple
             continue
         break
     else:
-        return [("D", head, len(a)), ("I", head + len(a), len(b))]
+        if most is not None:
+            return [("D", head, len(a)), ("I", head + len(a), len(b))]
+        del trace
+        x, y, x2, y2 = middle_snake(a, b)
+        parts = ((0, shortest_edits(a[:x], b[:y], None, traced)), (x2, shortest_edits(a[x2:], b[y2:], None, traced)))
+        return [(op, head + at + i, n) for at, part in parts for op, i, n in part]
     steps, x, y = [], len(a), len(b)
     for d in range(len(trace) - 1, 0, -1):
         before, k = trace[d], x - y

@@ -86,6 +86,23 @@ def test_long_diff_falls_back():
     assert sync.shortest_edits("a" * 50, "b" * 50, most=10) == [("D", 0, 50), ("I", 50, 50)]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("abé", min_size=1, max_size=14), st.text("abé", min_size=1, max_size=14))
+def test_divided_diff_is_as_short(old, new):
+    whole, divided = sync.shortest_edits(old, new), sync.shortest_edits(old, new, traced=1)
+    assert sum(n for *_, n in divided) == sum(n for *_, n in whole)
+
+
+def test_diff_beyond_four_thousand_edits():
+    """What lies unchanged between changes at both ends isn't deleted."""
+    middle = "".join(f"line {i} stays;" for i in range(300))
+    old, new = "a" * 2100 + middle + "b" * 2100, "c" * 2100 + middle + "d" * 2100
+    ops = sync.edit_ops(old, new)
+    assert apply(old, new, ops) == new.encode()
+    assert sum(n for op, _, n, _ in ops if op == "D") == 4200
+    assert not [p for op, p, *_ in ops if op == "D" and 2100 <= p < 2100 + len(middle)]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 8000), min_size=1, max_size=30).map(sorted))
 def test_callbacks_wait_no_longer(times):
