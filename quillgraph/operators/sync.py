@@ -219,7 +219,7 @@ def verify_pass(entities: DataFrame, sources: DataFrame, source: str = "new_sour
     return rows.withColumn("status", status).select(*entities.columns)
 
 
-def cascade(entities: DataFrame, triples: DataFrame, exact: bool = False, most_rounds: int = 32) -> DataFrame:
+def cascade(entities: DataFrame, triples: DataFrame, exact: bool = False) -> DataFrame:
     """A subject is at least as bad as the entities that its triples name; one hop, or where exact until nothing changes."""
     edges = triples.where(F.col("object_kind") == "entity").select("doc_id", "subject", F.col("object_value").alias("object"))
     while True:
@@ -230,9 +230,9 @@ def cascade(entities: DataFrame, triples: DataFrame, exact: bool = False, most_r
         out = joined.withColumn("status", F.greatest("status", F.coalesce("__worst", F.col("status"))).cast("tinyint")).select(*entities.columns)
         if not exact:
             return out
-        if not changed.count() or not most_rounds:
+        # Each round but the last raises a status, and there are three levels: this ends.
+        if not changed.count():
             return out
-        most_rounds -= 1
         entities = out.checkpoint()
 
 

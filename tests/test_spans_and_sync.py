@@ -103,6 +103,13 @@ def test_diff_beyond_four_thousand_edits():
     assert not [p for op, p, *_ in ops if op == "D" and 2100 <= p < 2100 + len(middle)]
 
 
+def test_exact_cascade_goes_to_the_end_of_a_chain(spark):
+    n = 42
+    e = spark.createDataFrame([("d", f"e{i}", 2 if i == n - 1 else 0) for i in range(n)], "doc_id string, entity_id string, status tinyint").coalesce(1)
+    t = spark.createDataFrame([("d", f"e{i}", "entity", f"e{i + 1}") for i in range(n - 1)], "doc_id string, subject string, object_kind string, object_value string").coalesce(1)
+    assert {r["status"] for r in sync.cascade(e, t, exact=True).collect()} == {2}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 8000), min_size=1, max_size=30).map(sorted))
 def test_callbacks_wait_no_longer(times):
