@@ -96,15 +96,19 @@ def decorations(entities: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "ord", F.col("span_start").alias("from"), to.alias("to"), F.concat(F.lit("entity-"), status_name(F.col("status"))).alias("style")).where("from >= 0 and from < to")
 
 
-def top_relations(triples: DataFrame, entities: DataFrame, k: int = 2) -> DataFrame:
-    """The first k triples of each subject, labelled: the object's snippet, else its id; a literal's value has no target."""
-    order = Window.partitionBy("doc_id", "subject").orderBy("ord")
-    first = triples.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def relation_labels(triples: DataFrame, entities: DataFrame, *more: str) -> DataFrame:
+    """All triples, labelled: the object's snippet, else its id; a literal's value has no target. `more` columns are kept."""
     labels = entities.groupBy("doc_id", F.col("entity_id").alias("object_value")).agg(F.min_by("snippet", "ord").alias("snippet"))
     is_entity = F.col("object_kind") == "entity"
-    rows = first.join(labels, ["doc_id", "object_value"], "left")
+    rows = triples.join(labels, ["doc_id", "object_value"], "left")
     label = F.when(is_entity, F.coalesce(F.nullif(F.col("snippet"), F.lit("")), "object_value")).otherwise(F.col("object_value"))
-    return rows.select("doc_id", "subject", "rank", local_name(F.col("predicate")).alias("predicate_label"), label.alias("target_label"), F.when(is_entity, F.col("object_value")).otherwise("").alias("target_id"))
+    return rows.select("doc_id", "subject", *more, local_name(F.col("predicate")).alias("predicate_label"), label.alias("target_label"), F.when(is_entity, F.col("object_value")).otherwise("").alias("target_id"))
+
+
+def top_relations(triples: DataFrame, entities: DataFrame, k: int = 2) -> DataFrame:
+    """The first k triples of each subject, labelled."""
+    order = Window.partitionBy("doc_id", "subject").orderBy("ord")
+    return relation_labels(triples.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), entities, "rank")
 
 
 def entity_views(entities: DataFrame, docs: DataFrame) -> DataFrame:

@@ -174,6 +174,14 @@ def relation_label_join(spark, sf):
     return graph.top_relations(t, e, 9)
 
 
+@query("relation_labels", f"""WITH {GRAPH_SQL} SELECT t.doc_id, t.subject, t.ord, CASE WHEN contains(predicate, '#') THEN 'priority' ELSE split_part(predicate, '/', 4) END AS predicate_label,
+ CASE WHEN object_kind = 'entity' THEN coalesce(nullif(e.snippet, ''), object_value) ELSE object_value END AS target_label, CASE WHEN object_kind = 'entity' THEN object_value ELSE '' END AS target_id
+ FROM tri t LEFT JOIN ent e ON e.doc_id = t.doc_id AND e.entity_id = t.object_value""")
+def relation_labels(spark, sf):
+    e, t = corpus.order_graph(spark, sf)
+    return graph.relation_labels(t, e, "ord")
+
+
 CASCADE_SQL = f"""WITH {GRAPH_SQL}, w AS (SELECT t.doc_id, t.subject AS entity_id, max(e.status) AS worst FROM tri t JOIN ent e ON e.doc_id = t.doc_id AND e.entity_id = t.object_value WHERE t.object_kind = 'entity' GROUP BY ALL)
 SELECT e.doc_id, e.entity_id, greatest(e.status, coalesce(w.worst, 0))::INTEGER AS status FROM ent e LEFT JOIN w USING (doc_id, entity_id)"""
 

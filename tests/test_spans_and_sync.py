@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillgraph.operators import blocks, spans, sync
+from quillgraph.operators import blocks, graph, spans, sync
 from quillgraph.streaming.sessions import fire_times
 
 
@@ -103,6 +103,13 @@ def test_diff_beyond_four_thousand_edits():
     assert not [p for op, p, *_ in ops if op == "D" and 2100 <= p < 2100 + len(middle)]
 
 
+def test_every_triple_of_a_hot_subject_is_labelled(spark):
+    t = spark.createDataFrame([("d", i, "p", "http://x/of", "entity", f"o{i}") for i in range(30)], "doc_id string, ord long, subject string, predicate string, object_kind string, object_value string")
+    e = spark.createDataFrame([("d", f"o{i}", i, f"name {i}") for i in range(0, 30, 2)], "doc_id string, entity_id string, ord long, snippet string")
+    found = {r["target_id"]: r["target_label"] for r in graph.relation_labels(t, e).collect()}
+    assert found == {f"o{i}": f"name {i}" if i % 2 == 0 else f"o{i}" for i in range(30)}
+
+
 def test_exact_cascade_goes_to_the_end_of_a_chain(spark):
     n = 42
     e = spark.createDataFrame([("d", f"e{i}", 2 if i == n - 1 else 0) for i in range(n)], "doc_id string, entity_id string, status tinyint").coalesce(1)
