@@ -6,9 +6,9 @@ interval each query's k-th score lies, and that interval is divided anew until i
 one value. A last pass keeps what is above the k-th score, and of those equal to it the
 smallest ids.
 
-A task holds its own part of the vectors and one block of queries. As nothing below a
-task's own k-th score can be the k-th of all, it sends at most k counts a query; the
-last pass sends at most k rows a query and task, however many vectors are equal.
+A task holds a chunk of its vectors and one block of queries. As nothing below a
+chunk's own k-th score can be the k-th of all, it sends at most k counts a query; the
+last pass sends at most k rows a query and chunk, however many vectors are equal.
 """
 
 from __future__ import annotations
@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 from quillgraph.llm.shared import open_fs, work_dir, written
 
 QUERY_BLOCK, VECTOR_BLOCK, INTERVALS = 2048, 1024, 1024
+#: Bytes of vectors that a task holds at a time.
+CHUNK_BYTES = 128 << 20
+LONG = 2**63 - 1
 
 
 def whole_vectors(vectors: DataFrame, scale: int) -> DataFrame:
@@ -47,6 +50,36 @@ def by_length(ids: list[int], rows: list[np.ndarray]) -> dict[int, tuple[np.ndar
     return {n: (np.array(a, np.int64), np.vstack(b)) for n, (a, b) in found.items()}
 
 
+def chunks(batches: Iterator[pa.RecordBatch], most_bytes: int = CHUNK_BYTES) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """(ids, vectors) by length, of about so many bytes at a time."""
+    ids, found, held = [], [], 0
+    for batch in batches:
+        ids += batch.column(0).to_pylist()
+        rows = matrix(batch.column(1))
+        found += rows
+        held += sum(r.nbytes for r in rows)
+        if held >= most_bytes:
+            yield by_length(ids, found)
+            ids, found, held = [], [], 0
+    if ids:
+        yield by_length(ids, found)
+
+
+def inner(v: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers, exact: in floating point while no sum reaches 2 ** 53, else in whole numbers.
+
+    Products beyond a long count as the nearest long.
+    """
+    reach = float(np.sqrt((v * v).sum(1).max()) * np.sqrt((m * m).sum(1).max())) * (1 + 1e-9)
+    if reach < 2**53:
+        return (v @ m.T).astype(np.int64)
+    if reach < 2**63 and max(np.abs(v).max(), np.abs(m).max()) < 2**63:
+        # Sums may wrap around on the way, which doesn't change a result that fits.
+        return v.astype(np.int64) @ m.T.astype(np.int64)
+    whole = lambda a: np.array([[int(x) for x in r] for r in a], object)
+    return np.clip(whole(v) @ whole(m).T, -LONG, LONG).astype(np.int64)
+
+
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k highest inner products of each query with all other vectors.
 
@@ -56,14 +89,14 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
     different length have no score; repeated rows of a query's vec_id are one
     query (the greatest vector) and no candidates of it, other repeated rows are
     candidates each; an empty table gives an empty one; other columns are
-    ignored. Scores must be within 2 ** 53.
+    ignored. Scores are exact in the range of a long; components and scores
+    beyond it count as its nearest end.
     """
     spark = vectors.sparkSession
     rows = whole_vectors(vectors, scale)
     most = rows.agg(F.max(F.expr("aggregate(v, 0D, (a, c) -> a + c * c)"))).first()[0]
-    if most is not None and most >= 2**53:
-        raise ValueError("scores are beyond 2 ** 53")
-    reach = int(most or 0) + 1  # no score is beyond the greatest squared norm
+    # No score is beyond the greatest squared norm; the margin is for its sum's own rounding.
+    reach = min(int((most or 0) * (1 + 1e-9)) + 1, LONG)
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max("v").alias("v"))
     folder = work_dir(spark, "queries")
 
@@ -83,65 +116,61 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
     def scored(batches: Iterator[pa.RecordBatch], state: str | None):
-        """(ids of queries, low ends, vector ids, scores) of each block of queries and of vectors, queries first."""
+        """(block, ids of queries, low ends, parts (ids, vectors), query vectors) of each chunk and block of queries."""
         import pyarrow.parquet as pq
 
-        ids, found = [], []
-        for batch in batches:
-            ids += batch.column(0).to_pylist()
-            found += matrix(batch.column(1))
-        mine = by_length(ids, found)
         fs, path = open_fs(folder)
-        for name in names if mine else ():
-            length = int(name.rpartition("-")[2])
-            if length not in mine:
-                continue
-            block = pq.read_table(f"{path}/vectors/block={name}", filesystem=fs, columns=["ids", "m"], partitioning=None)
-            q = np.frombuffer(block["ids"][0].as_py(), np.int64)
-            m = np.frombuffer(block["m"][0].as_py()).reshape(len(q), length)
-            low = np.full(len(q), -reach, np.int64)
-            if state:
-                sfs, spath = open_fs(state)
-                if sfs.get_file_info(f"{spath}/block={name}").type.name == "Directory":
+        sfs, spath = open_fs(state) if state else (None, None)
+        for mine in chunks(batches):
+            for name in names:
+                length = int(name.rpartition("-")[2])
+                if length not in mine:
+                    continue
+                block = pq.read_table(f"{path}/vectors/block={name}", filesystem=fs, columns=["ids", "m"], partitioning=None)
+                q = np.frombuffer(block["ids"][0].as_py(), np.int64)
+                m = np.frombuffer(block["m"][0].as_py()).reshape(len(q), length)
+                low = np.full(len(q), -reach, np.int64)
+                if state and sfs.get_file_info(f"{spath}/block={name}").type.name == "Directory":
                     t = pq.read_table(f"{spath}/block={name}", filesystem=sfs, columns=["query_id", "low"], partitioning=None)
                     at = {i: n for n, i in enumerate(q.tolist())}
                     low[[at[i] for i in t["query_id"].to_pylist()]] = t["low"].to_numpy()
-            c, v = mine[length]
-            yield name, q, low, [(c[i : i + VECTOR_BLOCK], v[i : i + VECTOR_BLOCK]) for i in range(0, len(c), VECTOR_BLOCK)], m
+                c, v = mine[length]
+                yield name, q, low, [(c[i : i + VECTOR_BLOCK], v[i : i + VECTOR_BLOCK]) for i in range(0, len(c), VECTOR_BLOCK)], m
 
     def histogram(width: int, span: int, state: str | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for name, q, low, parts, m in scored(batches, state):
                 counts = np.zeros((len(q), INTERVALS), np.int64)
                 for c, v in parts:
-                    # Scores beyond the interval that is divided were counted in passes before.
-                    at = (v @ m.T).astype(np.int64) - low
-                    at[(c[:, None] == q) | (at >= span)] = -1
-                    at //= width
-                    where, which = np.nonzero(at >= 0)
-                    counts += np.bincount(which * INTERVALS + at[where, which], minlength=counts.size).reshape(counts.shape)
+                    scores = inner(v, m)
+                    # Scores beyond the interval that is divided were counted in passes before. The distance from a low end may need all 64 bits.
+                    at = scores.view(np.uint64) - low.view(np.uint64)
+                    where, which = np.nonzero((scores >= low) & (at < np.uint64(span)) & (c[:, None] != q))
+                    interval = (at[where, which] // np.uint64(width)).astype(np.int64)
+                    counts += np.bincount(which * INTERVALS + interval, minlength=counts.size).reshape(counts.shape)
                 # Only the highest intervals, until they hold k.
                 above = counts[:, ::-1].cumsum(1)[:, ::-1] - counts
                 row, interval = np.nonzero((counts > 0) & (above < k))
                 if len(row):
-                    yield pa.record_batch([pa.array([name] * len(row)), pa.array(q[row]), pa.array(low[row]), pa.array(interval.astype(np.int64)), pa.array(counts[row, interval])], names=["block", "query_id", "low", "interval", "n"])
+                    start = (low[row].view(np.uint64) + interval.astype(np.uint64) * np.uint64(width)).view(np.int64)
+                    yield pa.record_batch([pa.array([name] * len(row)), pa.array(q[row]), pa.array(start), pa.array(counts[row, interval])], names=["block", "query_id", "low", "n"])
 
         return run
 
-    state, above, span, width = None, None, 2 * reach, -(-2 * reach // INTERVALS)
+    state, above, span, width = None, None, 2 * reach + 1, -(-(2 * reach + 1) // INTERVALS)
     while True:
-        counts = rows.mapInArrow(histogram(width, span, state), "block string, query_id long, low long, interval long, n long")
-        counts = counts.groupBy("block", "query_id", "low", "interval").agg(F.sum("n").alias("n"))
+        counts = rows.mapInArrow(histogram(width, span, state), "block string, query_id long, low long, n long")
+        counts = counts.groupBy("block", "query_id", "low").agg(F.sum("n").alias("n"))
         if above is not None:
             counts = counts.join(above, "query_id")
         else:
             counts = counts.withColumn("above", F.lit(0).cast("long"))
-        down = Window.partitionBy("query_id").orderBy(F.desc("interval")).rowsBetween(Window.unboundedPreceding, -1)
+        down = Window.partitionBy("query_id").orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, -1)
         counts = counts.withColumn("before", F.col("above") + F.coalesce(F.sum("n").over(down), F.lit(0)))
         # The interval of the k-th score; a query with fewer scores than k has none and keeps all.
         found = counts.where((F.col("before") < k) & (F.col("before") + F.col("n") >= k))
         state = work_dir(spark, "kth")
-        found.select("block", "query_id", (F.col("low") + F.col("interval") * width).alias("low"), F.col("before").alias("above")).write.partitionBy("block").parquet(state)
+        found.select("block", "query_id", "low", F.col("before").alias("above")).write.partitionBy("block").parquet(state)
         if width == 1:
             break
         above = spark.read.parquet(state).select("query_id", "above") if _any(spark, state) else None
@@ -152,7 +181,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, q, low, parts, m in scored(batches, state):
             for c, v in parts:
-                scores = (v @ m.T).astype(np.int64)
+                scores = inner(v, m)
                 keep = scores >= low
                 keep[c[:, None] == q] = False
                 where, which = np.nonzero(keep)
