@@ -4,53 +4,35 @@ Everything that touches a row is a column expression: host, path, the longest fi
 rule, the features, and the trees, which become nested CASE expressions in one
 generated stage. Trees are fitted on the driver to a bounded number of labelled URLs
 whose features the same expressions compute.
+
+Labels come from the caller, or from `weak_labels`: a bounded sample of the pages' own
+URLs, each as it is and once changed, labelled by points for several lexical causes.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from math import exp, log
+from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: (verdict, host and path) of the rules that the query uses.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
-#: Hosts that sell, bet, track or spam against ordinary ones. Either kind has plain and hyphenated names, with and without digits, under all
-#: suffixes, so no one feature gives the label. Of the hosts of `pages` only www.cheap-pills.example.com is among them.
-BLOCKED_HOSTS = (
-    "www.cheap-pills.example.com cheap-meds24.example.org www.casino-royal.example.com m.free-spins.example.com ad-server9.example.net link-farm.example.com xxx-cams.example.org buy-followers.example.com best-loans-now.example.net fast-cash-now.example.top hot-deals4u.example.xyz"
-    " win-big-prizes.example.click pillstore.example.com slots777.example.net luckybets.example.org x7k2q9ztv.example.top trk01.example.xyz clickpay.example.com cdn4adz.example.net dating247.example.com freemoviez.example.click b1tcash.example.top super-slots-online.example.net cheapmeds365.example.com bet-now-bonus7.example.com 5starcasino.example.org clk77x.example.net freegiftcards4you.example.com m.xtrafollowers.example.net wwwloginverify.example.click track3r-pro.example.com adz0ne9.example.org discountpillsonline.example.com m.jackpotcity88.example.com t0rrentz.example.xyz getrichquick.example.com"
-    " replicawatch.example.org megabonus88.example.net q8w3e5r1.example.xyz popads.example.org viagramart.example.com lotto4free.example.top spamhub.example.net instaloans.example.com hackedkeys.example.xyz poker99.example.com r4nd0mtrk.example.click"
-).split()
-ALLOWED_HOSTS = (
-    "tribune.example.com www.gardening.example.org blog.alpinist.example.net m.weather.example.com library.example.org www.theren.example.net blog.nation.example.com museum.example.net thether.example.org www.cooking.example.com blog.station.example.org m.orchestra.example.net"
-    " tionther.example.com university.example.org city-library.example.org www.north-coast.example.com blog.slow-food.example.net bird-watching.example.org m.evening-post.example.com st-marys-school.example.net open-source.example.org daily-news.example.com well-being.example.top"
-    " radio4.example.com www.channel5.example.net route66.example.org blog.studio54.example.com school.example.com www.hospital.example.org m.theatre.example.net news.example.org www.travel.example.net garden-club.example.com blog.old-maps.example.org m.tide-tables.example.com recipes.example.net www.astronomy.example.com parish-church.example.net blog.knitting.example.org m.trains.example.com m.formula1.example.net area51-museum.example.org weather24.example.com harbour.example.top bakery.example.xyz chess-club.example.xyz photos.example.click"
-).split()
-#: Paths of either kind: more long keys and parameters for blocked hosts, fewer for the others; half are common to both. {n} and {k} differ by host.
-COMMON_PATHS = ("en/{n}?utm_source=feed", "fr/{n}/", "de/{n}.html", "es/{n}", "en/{n}?page=2&ref=x", "en/{n}#top")
-BLOCKED_PATHS = (*COMMON_PATHS, "go/{k}?aff={n}&sub=a9&clk={n}&src=x", "r/x9Qz{n}Lk2Vt8Bw4?id={k}&k=1&t=9", "out.php?u={k}&z=44&p=1&s=2&q=3", "{k}/{k}", "en/{n}?sid={k}", "w/{n}/aZ3kQ9/{k}.exe")
-ALLOWED_PATHS = (*COMMON_PATHS, "archive/2019/04/summer-festival-report?print=1&lang=en&size=a4", "about/history/the-first-years", "search?q=winter+opening+hours", "", "en/topics/{n}", "contact.html#map")
-
-
-def labelled_urls(blocked: list[str], allowed: list[str]) -> list[tuple[int, str]]:
-    """(label, URL) for each host and path: 1 is blocked. The scheme alternates and says nothing."""
-    out = []
-    for label, hosts, paths in ((1, blocked, BLOCKED_PATHS), (0, allowed, ALLOWED_PATHS)):
-        for i, host in enumerate(hosts):
-            for j, path in enumerate(paths):
-                at = 1 + (7919 * (i + 1) * (j + 3)) % 9973
-                out.append((label, f"{('http', 'https')[(i + j) % 2]}://{host}/{path.format(n=at, k=104729 * at)}"))
-    return out
-
-
-#: Every fourth host of either kind is held out from fitting, to measure the trees.
-LABELLED = labelled_urls([h for i, h in enumerate(BLOCKED_HOSTS) if i % 4 != 3], [h for i, h in enumerate(ALLOWED_HOSTS) if i % 4 != 3])
-HELD_OUT = labelled_urls(BLOCKED_HOSTS[3::4], ALLOWED_HOSTS[3::4])
 #: Labelled rows that are fitted, at most: those with the smallest hash.
 MOST_LABELLED = 20_000
+#: Suffixes of each number of labels whose share of blocked URLs is kept, at most, and the labels that a suffix has.
+MOST_SUFFIXES, SUFFIX_LABELS = 128, (1, 2, 3)
+#: A suffix without labelled URLs, or with few, is drawn to the average as if it had so many average ones more.
+PRIOR_URLS = 4
+
+# What the labels of `weak_labels` go by.
+#: Words of a host, between dots and hyphens, that count two points.
+UNSAFE_WORDS = ("ads", "adult", "bet", "bets", "casino", "cheap", "loans", "pills", "poker", "porn", "spam", "track", "xxx")
+RARE_SUFFIXES = ("click", "top", "xyz")
+#: A URL with so many points is labelled 1.
+BLOCK_POINTS = 2
 
 
 def host_of(url: Column) -> Column:
@@ -84,33 +66,105 @@ def features(url: Column, host: Column, path: Column) -> dict[str, Column]:
     kinds = F.array_distinct(F.split(ascii_text, ""))
     share = lambda c: (F.length(ascii_text) - F.length(F.replace(ascii_text, c, F.lit("")))) / n
     entropy = F.aggregate(F.filter(kinds, lambda c: c != ""), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
-    query = F.regexp_extract(text, r"(?s)\?([^#]*)", 1)
     return {
         "url_length": F.length(text).cast("double"),
         "host_length": F.length(host).cast("double"),
-        "depth": F.regexp_count(path, F.lit("[^/]+")).cast("double"),
+        "depth": depth_of(path),
         "labels": F.regexp_count(host, F.lit("[^.]+")).cast("double"),
-        "digit_ratio": F.regexp_count(text, F.lit("[0-9]")) / n,
+        "digit_ratio": digit_ratio(text),
         "host_digits": F.regexp_count(host, F.lit("[0-9]")).cast("double"),
-        "hyphens": F.regexp_count(host, F.lit("-")).cast("double"),
         "entropy": entropy,
-        "parameters": F.when(query == "", 0.0).otherwise((F.regexp_count(query, F.lit("&")) + 1).cast("double")),
-        "has_fragment": text.contains("#").cast("double"),
+        "parameters": parameters_of(text),
     }
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def depth_of(path: Column) -> Column:
+    return F.regexp_count(path, F.lit("[^/]+")).cast("double")
+
+
+def digit_ratio(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("[0-9]")) / F.greatest(F.length(text), F.lit(1))
+
+
+def parameters_of(text: Column) -> Column:
+    query = F.regexp_extract(text, r"(?s)\?([^#]*)", 1)
+    return F.when(query == "", 0.0).otherwise((F.regexp_count(query, F.lit("&")) + 1).cast("double"))
+
+
+def suffix_of(host: Column, labels: int = 1) -> Column:
+    return F.substring_index(host, ".", -labels)
+
+
+def points(url: Column) -> Column:
+    """Points for lexical causes: two for an unsafe word in the host, one each for the others."""
+    host, path = host_of(url), path_of(url)
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    unsafe = F.exists(F.split(host, r"[.-]"), lambda w: w.isin(*UNSAFE_WORDS))
+    return (
+        2 * one(unsafe)
+        + one(parameters_of(url) >= 4)
+        + one(depth_of(path) >= 6)
+        + one(F.regexp_count(host, F.lit("[0-9]")) >= 4)
+        + one(F.rlike(path, F.lit("[0-9a-f]{24}")))
+        + one(suffix_of(host).isin(*RARE_SUFFIXES))
+        + one(digit_ratio(url) >= 0.3)
+        + one(F.length(url) >= 120)
+    )
+
+
+def changed(url: Column, kind: Column) -> Column:
+    """The URL with one change of eight kinds, from harmless ones to those that cost a point."""
+    digest = F.md5(url)
+    number = F.conv(F.left(digest, F.lit(7)), 16, 10)
+    more = F.when(F.contains(url, F.lit("?")), "&").otherwise("?")
+    start, rest = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), F.regexp_replace(url, r"(?s)^.*?://[^/?#]*", "")
+    tail = F.when(F.startswith(rest, F.lit("/")), rest).otherwise(F.concat(F.lit("/"), rest))
+    return (
+        F.when(kind == 1, F.concat(url, more, F.lit("utm_source=feed&utm_medium=mail")))
+        .when(kind == 2, F.concat(url, more, F.lit("aff="), number, F.lit("&clk="), number, F.lit("&sub=a9&src=x&sid="), F.left(digest, F.lit(10))))
+        .when(kind == 3, F.concat(start, F.lit("/archive/2019"), tail))
+        .when(kind == 4, F.concat(start, F.lit("/a/b/c/d/e"), tail))
+        .when(kind == 5, F.concat(start, F.lit("/"), digest, tail))
+        .when(kind == 6, F.concat(F.regexp_replace(start, r"^([^.]*)", F.concat(F.lit("$1"), F.right(number, F.lit(5)))), tail))
+        .when(kind == 7, F.concat(F.regexp_replace(start, r"\.[a-zA-Z]+$", F.concat(F.lit("."), F.element_at(F.array(*map(F.lit, RARE_SUFFIXES)), F.pmod(F.crc32(url), F.lit(len(RARE_SUFFIXES))).cast("int") + 1))), tail))
+        .otherwise(url)
+    )
+
+
+def weak_labels(pages: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
+    """(url, label) of at most `most` rows: URLs of `pages` (page_id, url) with the smallest hashes, as they are and changed twice.
+
+    A URL is labelled 1 from BLOCK_POINTS `points` on. The changes, picked by the
+    URL's hash, make each cause occur with and without others, on all hosts, so
+    that none is the label by itself. URLs that are null or have no `://` aren't used.
+    """
+    url = F.col("url").cast("string")
+    rows = pages.where(F.contains(url, F.lit("://"))).orderBy(F.xxhash64("url", "page_id"), "url", "page_id").limit(most // 2).select(url.alias("url"))
+    kind = lambda shift: F.pmod(F.shiftright(F.xxhash64("url"), shift), F.lit(8))
+    # One change a projection: nested, the expression would be too long for one generated method.
+    rows = rows.select("url", kind(3).alias("one"), kind(23).alias("two"))
+    rows = rows.select("url", "two", changed(F.col("url"), F.col("one")).alias("new")).select("url", changed(F.col("new"), F.col("two")).alias("new"))
+    both = rows.select(F.explode(F.array("url", "new")).alias("url"))
+    return both.select("url", (points(F.col("url")) >= BLOCK_POINTS).cast("int").alias("label"))
 
 
 @dataclass
 class Trees:
     """Boosted trees of depth two: (feature, cut, (feature, cut, value, value), ...) and the share of blocked URLs by suffix."""
 
-    suffixes: dict[str, float]
-    share: float
     start: float
-    trees: list
+    trees: list = field(default_factory=list)
+    share: float = 0.0
+    #: {labels of a suffix: {suffix: smoothed share of blocked URLs}}
+    suffixes: dict[int, dict[str, float]] = field(default_factory=dict)
+
+    def columns(self, url: Column, host: Column, path: Column) -> dict[str, Column]:
+        """All features by name, those of suffixes too."""
+        out = features(url, host, path)
+        for n, shares in self.suffixes.items():
+            known = F.create_map(*(F.lit(x) for pair in sorted(shares.items()) for x in pair)) if shares else None
+            out[f"suffix_{n}"] = F.lit(self.share) if known is None else F.coalesce(F.try_element_at(known, suffix_of(host, n)), F.lit(self.share))
+        return out
 
     def value(self, columns: dict[str, Column]) -> Column:
         """The sum of all trees' values, as a log odds."""
@@ -120,91 +174,106 @@ class Trees:
             out = out + F.when(columns[f] <= cut, side[0]).otherwise(side[1])
         return out
 
-    def suffix_share(self, suffix: Column) -> Column:
-        out = F.lit(self.share)
-        for k, v in sorted(self.suffixes.items()):
-            out = F.when(suffix == k, F.lit(v)).otherwise(out)
-        return out
 
+def suffix_shares(suffixes: np.ndarray, y: np.ndarray, share: float) -> dict[str, float]:
+    """Smoothed share of label 1 for each suffix, as given."""
+    names, at = np.unique(suffixes, return_inverse=True)
+    n, ones = np.bincount(at), np.bincount(at, y)
+    return dict(zip(names.tolist(), ((ones + PRIOR_URLS * share) / (n + PRIOR_URLS)).tolist()))
 
-def fit(labelled: DataFrame, rounds: int = 20, rate: float = 0.4, cuts: int = 32, most: int = MOST_LABELLED, suffixes: int = 64) -> Trees:
-    """Fit trees to labelled URLs (url, label of 0 or 1), `most` rows at most; without any, every URL is allowed."""
-    url = F.col("url")
-    host, path = host_of(url), path_of(url)
-    found = features(url, host, path)
-    rows = labelled.where("label in (0, 1)").orderBy(F.xxhash64("url"), "url", "label").limit(most)
-    rows = rows.select(F.col("label").cast("double"), suffix_of(host).alias("suffix"), *(c.alias(k) for k, c in found.items())).collect()
-    if not rows:
-        return Trees({}, 0.0, -1.0, [])
-    y = [r["label"] for r in rows]
-    share = sum(y) / len(y)
-    by: dict[str, list[float]] = {}
-    for r, label in zip(rows, y):
-        by.setdefault(r["suffix"], []).append(label)
-    # Smoothed by ten labels of the average; only the suffixes with the most labels are kept.
-    kept = sorted(by, key=lambda s: (-len(by[s]), s))[:suffixes]
-    stats = {s: (sum(by[s]) + 10 * share) / (len(by[s]) + 10) for s in kept}
-    names = [*found, "suffix_share"]
-    x = [[*(r[k] for k in found), stats.get(r["suffix"], share)] for r in rows]
+
+def boost(x: np.ndarray, y: np.ndarray, rounds: int, rate: float, cuts: int) -> tuple[float, list]:
+    """(start, trees) of gradient boosting on the log loss; features are binned once, splits are read off histograms of gradients."""
+    share = y.mean()
+    start = float(np.log((share + 0.01) / (1.01 - share)))
     edges = []
-    for k in range(len(names)):
-        values = sorted({r[k] for r in x})
-        step = max(1, len(values) // cuts)
-        edges.append([(a + b) / 2 for a, b in zip(values, values[1:])][::step])
-    start = log((share + 0.01) / (1.01 - share))
-    score = [start] * len(x)
-
-    def best(at: list[int], grad: list[float], hess: list[float]) -> tuple[int, float] | None:
-        total_g, total_h = sum(grad[i] for i in at), sum(hess[i] for i in at)
-        top, split = 1e-9, None
-        for k, cut_list in enumerate(edges):
-            for cut in cut_list:
-                g = h = 0.0
-                for i in at:
-                    if x[i][k] <= cut:
-                        g += grad[i]
-                        h += hess[i]
-                gain = g * g / (h + 1) + (total_g - g) ** 2 / (total_h - h + 1) - total_g**2 / (total_h + 1)
-                if gain > top:
-                    top, split = gain, (k, cut)
-        return split
-
-    trees = []
+    for column in x.T:
+        values = np.unique(column)
+        middles = (values[1:] + values[:-1]) / 2
+        edges.append(middles if len(middles) <= cuts else np.unique(np.quantile(middles, np.linspace(0, 1, cuts), method="nearest")))
+    bins = [np.searchsorted(e, column, side="left") for e, column in zip(edges, x.T)]  # value <= edge i: bin <= i
+    score, trees = np.full(len(y), start), []
+
+    def split(at: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> tuple[int, int] | None:
+        total_g, total_h, top, found = grad[at].sum(), hess[at].sum(), 1e-9, None
+        for k, e in enumerate(edges):
+            if not len(e):
+                continue
+            g = np.cumsum(np.bincount(bins[k][at], grad[at], len(e) + 1))[:-1]
+            h = np.cumsum(np.bincount(bins[k][at], hess[at], len(e) + 1))[:-1]
+            gain = g * g / (h + 1) + (total_g - g) ** 2 / (total_h - h + 1) - total_g**2 / (total_h + 1)
+            i = int(gain.argmax())
+            if gain[i] > top:
+                top, found = gain[i], (k, i)
+        return found
+
     for _ in range(rounds):
-        p = [1 / (1 + exp(-s)) for s in score]
-        grad, hess = [a - b for a, b in zip(y, p)], [a * (1 - a) for a in p]
-        leaf = lambda at: rate * sum(grad[i] for i in at) / (sum(hess[i] for i in at) + 1)
-        root = best(list(range(len(x))), grad, hess)
+        p = 1 / (1 + np.exp(-score))
+        grad, hess = y - p, p * (1 - p)
+        root = split(np.arange(len(y)), grad, hess)
         if root is None:
             break
-        sides = []
-        for low in (True, False):
-            at = [i for i in range(len(x)) if (x[i][root[0]] <= root[1]) == low]
-            k, cut = best(at, grad, hess) or root
-            a, b = [i for i in at if x[i][k] <= cut], [i for i in at if x[i][k] > cut]
-            sides.append((names[k], cut, leaf(a), leaf(b)))
-            for part, value in ((a, sides[-1][2]), (b, sides[-1][3])):
-                for i in part:
-                    score[i] += value
-        trees.append((names[root[0]], root[1], *sides))
-    return Trees(stats, share, start, trees)
+        below, sides = bins[root[0]] <= root[1], []
+        for side in (below, ~below):
+            at = np.flatnonzero(side)
+            k, i = split(at, grad, hess) or root
+            values = []
+            for part in (at[bins[k][at] <= i], at[bins[k][at] > i]):
+                values.append(float(rate * grad[part].sum() / (hess[part].sum() + 1)))
+                score[part] += values[-1]
+            sides.append((k, float(edges[k][i]), *values))
+        trees.append((root[0], float(edges[root[0]][root[1]]), *sides))
+    return start, trees
+
+
+def fit(labelled: DataFrame, rounds: int = 40, rate: float = 0.3, cuts: int = 32, most: int = MOST_LABELLED, suffixes: int = MOST_SUFFIXES) -> Trees:
+    """Fit trees to labelled URLs (url, label of 0 or 1), `most` rows at most; without any, every URL is allowed.
+
+    A row's suffix statistics are those of the other half of the rows, so its own
+    label isn't among its features; what is kept are the statistics of all rows.
+    """
+    url = F.col("url")
+    host, path = host_of(url), path_of(url)
+    found = features(url, host, path)
+    rows = labelled.where("label in (0, 1)").orderBy(F.xxhash64("url"), "url", "label").limit(most)
+    # At most `most` rows of a dozen values.
+    rows = rows.select(F.col("label").cast("double"), F.pmod(F.xxhash64("url"), F.lit(2)).alias("half"), *(suffix_of(host, n).alias(f"suffix_{n}") for n in SUFFIX_LABELS), *(c.alias(k) for k, c in found.items())).toPandas()
+    if not len(rows):
+        return Trees(-1.0)
+    y, half = rows["label"].to_numpy(float), rows["half"].to_numpy()
+    share = float(y.mean())
+    x = [rows[k].to_numpy(float) for k in found]
+    kept = {}
+    for n in SUFFIX_LABELS:
+        suffix = rows[f"suffix_{n}"].to_numpy(str)
+        of_others = np.full(len(y), share)
+        for side in (0, 1):
+            known = suffix_shares(suffix[half != side], y[half != side], share)
+            of_others[half == side] = [known.get(s, share) for s in suffix[half == side]]
+        x.append(of_others)
+        shares, counts = suffix_shares(suffix, y, share), dict(zip(*np.unique(suffix, return_counts=True)))
+        # Those that tell most: how far from the average, for how many URLs.
+        kept[n] = {s: shares[s] for s in sorted(shares, key=lambda s: (-abs(shares[s] - share) * counts[s], s))[:suffixes]}
+    names = [*found, *(f"suffix_{n}" for n in SUFFIX_LABELS)]
+    start, trees = boost(np.column_stack(x), y, rounds, rate, cuts)
+    return Trees(start, [(names[f], cut, *((names[g], c, a, b) for g, c, a, b in sides)) for f, cut, *sides in trees], share, kept)
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, labelled: DataFrame | None = None) -> DataFrame:
     """One row per row of `pages` (page_id, url): host, path, rule, verdict (allow or block), score.
 
     The longest rule that fits gives the verdict, else the trees do: blocked from
-    even odds on. score is the trees' probability. Defined results: a null URL,
+    even odds on. score is the trees' probability. The trees are fitted to
+    `labelled` (url, label), or to `weak_labels` of the pages themselves.
+
+    Defined results: a null URL,
     or one without `://`, has an empty host and path, fits no rule and is judged
     by the trees as it is; an empty table gives an empty one; repeated rows give
     repeated results; other columns are ignored.
     """
-    spark = pages.sparkSession
-    if labelled is None:
-        labelled = spark.createDataFrame([(u, y) for y, u in LABELLED], "url string, label int")
-    model = fit(labelled)
+    model = fit(weak_labels(pages) if labelled is None else labelled)
     rows = pages.select("page_id", F.col("url").cast("string").alias("url")).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    found = features(F.col("url"), F.col("host"), F.col("path")) | {"suffix_share": model.suffix_share(suffix_of(F.col("host")))}
+    found = model.columns(F.col("url"), F.col("host"), F.col("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), F.struct(*(c.alias(k) for k, c in found.items())).alias("f"))
     value = model.value({k: F.col(f"f.{k}") for k in found})

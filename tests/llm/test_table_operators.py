@@ -109,6 +109,27 @@ def test_top_k(spark):
     assert {tuple(r) for r in topk.top_k(few).select("query_id", "rank", "vec_id", "score").collect()} == brute_top([r for r in rows if r[0] in (50, 51, 52)], 50, 5)
 
 
+def test_inner_products_are_exact():
+    rng = np.random.default_rng(3)
+    for size in (2**20, 2**30, 2**62):
+        v, m = (rng.integers(-size, size, (6, 5)).astype(float) for _ in range(2))
+        v[0], m[0] = size, size
+        expected = [[max(-topk.LONG, min(topk.LONG, sum(int(a) * int(b) for a, b in zip(x, y)))) for y in m] for x in v]
+        assert topk.inner(v, m).tolist() == expected
+
+
+def test_top_k_of_large_components(spark):
+    """Squared norms far beyond 2 ** 53, up to the end of a long, and beyond it."""
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=4) * 4e5).tolist()) for i in range(60)] + [(i, (rng.normal(size=4) * 3e6).tolist()) for i in range(60, 80)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = {tuple(r) for r in topk.top_k(df, every=10, k=3).select("query_id", "rank", "vec_id", "score").collect()}
+    assert found == brute_top(rows, 10, 3) and max(abs(s) for *_, s in found) > 2**53
+    far = [(0, [1e300, 0.0]), (1, [1e300, 0.0]), (2, [-1e300, 1.0]), (3, [1.0, 1.0])]
+    rows = topk.top_k(spark.createDataFrame(far, "vec_id long, embedding array<double>"), every=10).collect()
+    assert [(r["vec_id"], r["score"]) for r in sorted(rows, key=lambda r: r["rank"])] == [(1, topk.LONG), (3, topk.LONG), (2, -topk.LONG)]
+
+
 def brute_rule(url):
     if url is None or "://" not in url:
         return "", "", None, None
@@ -124,7 +145,8 @@ def brute_rule(url):
 def test_urls(spark):
     given = ["http://a.Example.COM/en/7x?q#f", "https://com/en/", "http://xcom/en/", "http://b.net/de/8", "http://x.example.net/de/81", "ftp://org/es/#a", "nothing", None, "", "a://", "http://h?x=/en/", "http://h\n/p\nq?z", "x://y://z/en/", "https://www.cheap-pills.example.com/fr/1", "https://weather.example.com/fr/1", "http://h/" + "é" * 3000]
     df = spark.createDataFrame([(i, u, "v") for i, u in enumerate(given)], "page_id long, url string, verdict string")
-    rows = urls.judge(df).collect()
+    labelled = urls.weak_labels(queries.table(spark, "/root/testdata/sf0.01", "pages"))
+    rows = urls.judge(df, labelled=labelled).collect()
     for r in rows:
         host, path, rule, verdict = brute_rule(given[r["page_id"]])
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
@@ -136,14 +158,25 @@ def test_urls(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
-def test_trees_are_what_they_say(spark):
-    """The expression's value is that of walking the trees."""
-    model = urls.fit(spark.createDataFrame([(u, y) for y, u in urls.LABELLED], "url string, label int"))
-    df = spark.createDataFrame([(u,) for _, u in urls.LABELLED], "url string")
+@pytest.fixture(scope="module")
+def labelled_urls(spark):
+    """Weak labels of the pages of sf0.1; a fifth of the hosts is held out."""
+    pages = queries.table(spark, "/root/testdata/sf0.1", "pages")
+    rows = urls.weak_labels(pages).withColumn("held", F.pmod(F.xxhash64(urls.host_of(F.col("url"))), F.lit(5)) == 0).collect()
+    df = spark.createDataFrame(rows, "url string, label int, held boolean")
+    return df.where(~F.col("held")), df.where("held")
+
+
+def tree_columns(model, df):
     host, path = urls.host_of(F.col("url")), urls.path_of(F.col("url"))
-    columns = urls.features(F.col("url"), host, path) | {"suffix_share": model.suffix_share(urls.suffix_of(host))}
-    rows = df.select(*(c.alias(k) for k, c in columns.items()), model.value(columns).alias("value")).collect()
-    for r in rows:
+    columns = model.columns(F.col("url"), host, path)
+    return df.select("label", *(c.alias(k) for k, c in columns.items()), model.value(columns).alias("value")).collect()
+
+
+def test_trees_are_what_they_say(labelled_urls):
+    """The expression's value is that of walking the trees."""
+    model = urls.fit(labelled_urls[0])
+    for r in tree_columns(model, labelled_urls[1]):
         total = model.start
         for f, cut, low, high in model.trees:
             g, c, a, b = low if r[f] <= cut else high
@@ -151,18 +184,32 @@ def test_trees_are_what_they_say(spark):
         assert r["value"] == pytest.approx(total)
 
 
-def test_trees_use_more_than_hyphens(spark):
-    """Hyphens don't give the label, several features decide, and hosts that weren't fitted are mostly told apart."""
-    for label in (0, 1):
-        hyphens = [("-" in url.split("/")[2]) for y, url in urls.LABELLED if y == label]
-        assert 0.2 < sum(hyphens) / len(hyphens) < 0.8
-    host_of = lambda rows: {url.split("/")[2] for _, url in rows}
-    assert not host_of(urls.LABELLED) & host_of(urls.HELD_OUT)
-    model = urls.fit(spark.createDataFrame([(u, y) for y, u in urls.LABELLED], "url string, label int"))
-    assert len({f for f, *_ in model.trees}) >= 3 and len({side[0] for t in model.trees for side in t[2:]}) >= 5
-    df = spark.createDataFrame([(i, u, y) for i, (y, u) in enumerate(urls.HELD_OUT)], "page_id long, url string, label int")
-    found = urls.judge(df, rules=[]).join(df, "page_id").select(((F.col("verdict") == "block") == (F.col("label") == 1)).cast("int").alias("fine"))
-    assert found.agg(F.avg("fine")).first()[0] > 0.65
+def test_trees_use_many_features(labelled_urls):
+    """Several features decide, suffix statistics among them, and URLs of hosts that weren't fitted are told apart."""
+    fitted, held = labelled_urls
+    model = urls.fit(fitted)
+    used = {f for f, *_ in model.trees} | {side[0] for t in model.trees for side in t[2:]}
+    assert len(used) >= 5 and any(f.startswith("suffix_") for f in used) and {"depth", "digit_ratio", "parameters"} <= used
+    rows = tree_columns(model, held)
+    ones, zeros = (np.array([r["value"] for r in rows if r["label"] == y]) for y in (1, 0))
+    auc = ((ones[:, None] > zeros).mean() + (ones[:, None] >= zeros).mean()) / 2
+    accuracy = np.mean([(r["value"] >= 0) == (r["label"] == 1) for r in rows])
+    assert len(ones) > 100 and auc > 0.93 and accuracy > 0.9
+
+
+def test_no_cause_is_the_label(labelled_urls):
+    """In the labelled URLs each cause occurs with either label."""
+    df = labelled_urls[0]
+    causes = {"parameters": F.col("parameters") >= 4, "depth": F.col("depth") >= 6, "digits": F.col("host_digits") >= 4}
+    columns = urls.features(F.col("url"), urls.host_of(F.col("url")), urls.path_of(F.col("url")))
+    rows = df.select("label", *(c.alias(k) for k, c in columns.items()))
+    for cause in causes.values():
+        assert 0.02 < rows.where(cause).agg(F.avg("label")).first()[0] < 0.98
+    assert not urls.weak_labels(spark_frame(df), most=10).where("url is null").count()
+
+
+def spark_frame(df):
+    return df.limit(3).select(F.lit(1).alias("page_id"), "url").unionByName(df.limit(1).select(F.lit(None).cast("int").alias("page_id"), F.lit(None).cast("string").alias("url")))
 
 
 def brute_share(budget, children):
