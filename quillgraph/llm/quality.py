@@ -1,89 +1,152 @@
 """Quality classifier: random-indexing word vectors, pooled per document, into a two-layer network.
 
-Every word has contexts: the word itself, its shape (case, digits, marks, length)
-with the shape of the word before it, and whether it repeats that word. A context
-has a sparse random vector; a word's vector is the sum over its contexts, and a
-document's the mean over its words. As sums commute, a document's contexts are
-counted first and multiplied with the table of random vectors once.
-
-The network (one hidden layer) is trained in numpy on a bounded number of labelled
-documents; a temperature is fitted on a part that training leaves out.
+1. The labelled documents that training may use, a bounded number, are written once.
+2. Units are counted in them: words and the marks at their ends, as they are written; a
+   word like the one before it is the unit "again". The most frequent ones are the
+   vocabulary; any other is the unit of its shape (case, digits, length, end).
+3. Every unit has an index vector, sparse and random. A unit's vector is the sum of
+   the index vectors of its neighbours, wherever it occurs in those documents, less
+   what an average unit's neighbours are. Each task sums over its documents, whole
+   numbers, so the result doesn't depend on how they are dealt.
+4. A document's vector is the mean over its units. The network (one hidden layer) is
+   trained in numpy; a temperature is fitted on a part that training leaves out.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.shared import sized_join, slices
+from quillgraph.llm.shared import sized_join, slices, written
 
-#: Contexts are hashed to so many rows of the table of random vectors, of so many dimensions with so many entries that aren't zero.
-CONTEXTS, DIMENSIONS, NONZERO = 4096, 192, 8
+#: Dimensions of vectors, entries of an index vector that aren't zero, and neighbours on either side.
+DIMENSIONS, NONZERO, WINDOW = 128, 4, 2
+#: Units by shape, then "again", then at most so many units by name.
+SHAPES, VOCABULARY = 1024, 16_384
+AGAIN = SHAPES
 HIDDEN = 32
 PRIOR_WORDS = 8
-#: Labelled documents that the network is trained on, at most: those with the smallest hash of their id.
+#: Occurrences of an average unit that a unit's vector is drawn to.
+PRIOR_UNITS = 4
+#: Labelled documents that vectors and network are trained on, at most: those with the smallest hash of their id.
 MOST_LABELLED = 12_000
+#: Tasks of training, and rows of vectors that they send together.
+TRAINERS, ROWS_SENT = 12, 1024
 
-_WORDS: dict[str, tuple] = {}
-_WORDS_KEPT = 300_000
+_MARKS = ".,;:!?\"'()[]{}#*$%&|<>=+-_/\\~^@"
+_KEPT = 300_000
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
 
 
-def index_vectors(contexts: int = CONTEXTS, dimensions: int = DIMENSIONS, nonzero: int = NONZERO, seed: int = 11) -> np.ndarray:
-    """One sparse ternary random vector for each context."""
-    rng = np.random.default_rng(seed)
-    table = np.zeros((contexts, dimensions), np.float32)
-    for row in table:
-        row[rng.choice(dimensions, nonzero, replace=False)] = rng.choice([-1.0, 1.0], nonzero)
-    return table
+def split_word(word: str) -> tuple[str, str]:
+    """(what is between marks, marks at its end); a word of marks alone is all of itself."""
+    core = word.strip(_MARKS)
+    return (core, word[len(word.rstrip(_MARKS)) :]) if core else (word, "")
 
 
-def word_contexts(word: str) -> int:
-    """A word's own context and its shape, packed as word hash (40 bits) and shape (24 bits)."""
-    core = word.strip(".,;:!?\"'()[]{}#*$%&|<>=+-_/\\~^@")
+def shape(unit: str) -> int:
+    """Number of a unit's shape: case, digits, length and last character, or the marks that it begins with."""
+    core = unit.strip(_MARKS)
     case = 0 if not core else 1 if core.islower() else 2 if core.isupper() and len(core) > 1 else 3 if core[0].isupper() else 4
-    digits = sum(c.isdigit() for c in core)
-    tail = word[len(word.rstrip(".,;:!?\"'()[]{}#*$%&|<>=+-_/\\~^@")) :]
-    shape = f"{case} {min(digits, 3)} {tail[:3] if core else word[:3]} {min(len(core), 24) // 4}"
-    return (zlib.crc32(word.encode("utf-8", "surrogatepass")) | (len(word) & 255) << 32) << 24 | (zlib.crc32(shape.encode("utf-8", "surrogatepass")) & 0xFFFFFF)
-
-
-def pool(texts: list[str | None], table: np.ndarray) -> np.ndarray:
-    """A row for each text: the mean of its word vectors, and the logarithm of its number of words. Empty texts have zeros."""
-    counts = np.zeros((len(texts), len(table)), np.float32)
-    sizes = np.zeros(len(texts))
-    half = len(table) // 2
-    for row, text in enumerate(texts):
+    text = f"{case} {min(sum(c.isdigit() for c in core), 3)} {min(len(core), 24) // 4} {core[-1].isalpha()}" if core else f"{unit[:2]} {min(len(unit), 8)}"
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) % SHAPES
+
+
+def index_vectors(units: int, dimensions: int = DIMENSIONS, nonzero: int = NONZERO, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """(places, signs) of the entries of each unit's index vector that aren't zero. Places may repeat."""
+    rng = np.random.default_rng(seed)
+    return rng.integers(0, dimensions, (units, nonzero)), rng.choice([-1, 1], (units, nonzero))
+
+
+@dataclass
+class Units:
+    """Numbers of units; a worker's cache has those of words that it has seen."""
+
+    names: dict[str, int] = field(default_factory=dict)
+
+    def __post_init__(self):
+        self.cache: dict[str, int] = {}
+
+    def __reduce__(self):
+        return Units, (self.names,)
+
+    @property
+    def size(self) -> int:
+        return SHAPES + 1 + len(self.names)
+
+    def _number(self, unit: str) -> int:
+        found = self.names.get(unit)
+        return shape(unit) if found is None else found
+
+    def _pack(self, word: str) -> int:
+        """A word's hash (32 bits), unit (16) and the unit of its marks plus one (16)."""
+        found = self.cache.get(word)
+        if found is None:
+            core, tail = split_word(word)
+            found = zlib.crc32(word.encode("utf-8", "surrogatepass")) << 32 | self._number(core) << 16 | (self._number(tail) + 1 if tail else 0)
+            if len(word) < 64:
+                self.cache[word] = found
+        return found
+
+    def of(self, text: str | None) -> tuple[np.ndarray, int]:
+        """(a text's units in order, its number of words)."""
         words = (text or "").split()
         if not words:
-            continue
-        packed = np.fromiter(map(_cached, words), np.uint64, len(words))
-        shape, own = packed & np.uint64(0xFFFFFF), packed >> np.uint64(24)
-        before = np.concatenate([[np.uint64(7)], shape[:-1]])
-        again = np.concatenate([[False], own[1:] == own[:-1]])
-        pair = ((shape * np.uint64(0x9E3779B97F4A7C15) + before * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)).astype(np.int64) % (half - 64)
-        pair[again] = half - 1
-        word = ((own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % half + half
-        counts[row] = (np.bincount(pair, minlength=len(table)) + np.bincount(word, minlength=len(table))) / len(words)
-        sizes[row] = np.log1p(len(words)) / 10
-    if len(_WORDS) > _WORDS_KEPT:
-        _WORDS.clear()
-    return np.hstack([counts @ table, sizes[:, None].astype(np.float32)])
-
-
-def _cached(word: str) -> int:
-    found = _WORDS.get(word)
-    if found is None:
-        found = word_contexts(word)
-        if len(word) < 64:
-            _WORDS[word] = found
-    return found
+            return np.zeros(0, np.int64), 0
+        packed = np.fromiter(map(self._pack, words), np.uint64, len(words))
+        if len(self.cache) > _KEPT:
+            self.cache.clear()
+        units = np.zeros((len(words), 2), np.int64)
+        units[:, 0] = (packed >> np.uint64(16)) & np.uint64(0xFFFF)
+        units[:, 1] = (packed & np.uint64(0xFFFF)).astype(np.int64) - 1
+        word = packed >> np.uint64(32)
+        units[1:, 0][word[1:] == word[:-1]] = AGAIN
+        flat = units.ravel()
+        return flat[flat >= 0], len(words)
+
+
+def neighbour_sums(units: list[np.ndarray], size: int) -> np.ndarray:
+    """Sums of the index vectors of each unit's neighbours, and in a last column how many there were."""
+    places, signs = index_vectors(size)
+    out = np.zeros((size, DIMENSIONS + 1), np.int64)
+    for ids in units:
+        for at in range(0, len(ids), 1 << 16):
+            part = ids[max(0, at - WINDOW) : at + (1 << 16)]
+            first = at - max(0, at - WINDOW)  # pairs that lie before it were counted with the part before
+            for step in range(1, WINDOW + 1):
+                a, b = part[max(0, first - step) : -step], part[max(0, first - step) + step :]
+                for unit, near in ((a, b), (b, a)):
+                    np.add.at(out, (unit[:, None], places[near]), signs[near])
+                    np.add.at(out, (unit, DIMENSIONS), 1)
+    return out
+
+
+def word_vectors(sums: np.ndarray) -> np.ndarray:
+    """Unit vectors from sums: the mean neighbour less the mean of all, drawn to nothing for rare units, of length 1 at most."""
+    n = sums[:, -1:].astype(np.float64)
+    average = sums[:, :-1].sum(0) / max(n.sum(), 1)
+    mean = (sums[:, :-1] - n * average) / (n + PRIOR_UNITS)
+    return (mean / (np.linalg.norm(mean, axis=1, keepdims=True) + 0.05)).astype(np.float32)
+
+
+def pool(texts: list[str | None], units: Units, vectors: np.ndarray) -> np.ndarray:
+    """A row for each text: the mean of its units' vectors, and the logarithm of its number of words. Empty texts have zeros."""
+    out = np.zeros((len(texts), DIMENSIONS + 1), np.float32)
+    for row, text in zip(out, texts):
+        ids, n = units.of(text)
+        if n:
+            kinds, counts = np.unique(ids, return_counts=True)
+            row[:-1] = counts.astype(np.float32) @ vectors[kinds] / len(ids)
+            row[-1] = np.log1p(n) / 10
+    return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -159,24 +222,87 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_LABELLED) -> Network:
-    """Train on labelled documents that aren't held out, `most` rows at most; all labelled rows where there are fewer."""
+@dataclass
+class Model:
+    units: Units
+    vectors: np.ndarray
+    net: Network
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        return self.net.scores(pool(texts, self.units, self.vectors)) if self.net.constant is None else self.net.scores(texts)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """(id, label, text), written: documents that are labelled and not held out, `most` rows at most even where ids repeat."""
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label in (0, 1)").where(~held_out("id"))
     chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(most)
-    spark = docs.sparkSession
     # At most `most` rows of two numbers.
-    chosen = spark.createDataFrame(chosen.toPandas(), "id long, label int")
-    table = index_vectors()
+    chosen = docs.sparkSession.createDataFrame(chosen.toPandas(), "id long, label int")
+    rows = sized_join(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")), chosen, ["id"], "inner", most)
+    rows = rows.select("id", "label", "text").orderBy(F.xxhash64("id", "text"), "id", "label", "text").limit(most)
+    return written(rows.repartition(TRAINERS, F.xxhash64("id", "text")), "labelled")
+
+
+def vocabulary(rows: DataFrame, most: int = VOCABULARY) -> Units:
+    """The most frequent units of texts, counted in tasks before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for word, n in Counter((text or "").split()).items():
+                    for unit in split_word(word):
+                        if unit and len(unit) <= 64:
+                            seen[unit] += n
+        if seen:
+            yield pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["unit", "n"])
+
+    counts = rows.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1")
+    # At most `most` short words.
+    top = [r["unit"] for r in counts.orderBy(F.desc("n"), "unit").limit(most).collect()]
+    return Units({u: SHAPES + 1 + i for i, u in enumerate(sorted(top))})
+
+
+def train_vectors(rows: DataFrame, units: Units) -> np.ndarray:
+    """Word vectors of the units, from sums that tasks make over their texts."""
+    shared = rows.sparkSession.sparkContext.broadcast(units)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, sums = shared.value, None
+        for batch in batches:
+            found = neighbour_sums([units.of(t)[0] for t in batch.column(0).to_pylist()], units.size)
+            sums = found if sums is None else sums + found
+        if sums is not None:
+            at = range(0, len(sums), ROWS_SENT)
+            yield pa.record_batch([pa.array(list(at), pa.int32()), pa.array([sums[i : i + ROWS_SENT].astype("<i4").tobytes() for i in at], pa.binary())], names=["first", "sums"])
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, "<i4").astype(np.int64) for x in part["sums"])
+        return pd.DataFrame({"first": part["first"].iloc[:1], "sums": [total.astype("<i8").tobytes()]})
+
+    parts = rows.select("text").mapInArrow(run, "first int, sums binary").groupBy("first").applyInPandas(add, "first int, sums binary")
+    # A row for 1024 units: under 20 MB in all.
+    got = sorted((r["first"], r["sums"]) for r in parts.collect())
+    sums = np.frombuffer(b"".join(x for _, x in got), "<i8").reshape(-1, DIMENSIONS + 1) if got else np.zeros((units.size, DIMENSIONS + 1), np.int64)
+    return word_vectors(sums)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_LABELLED) -> Model:
+    """Train on labelled documents that aren't held out, `most` rows at most; all labelled rows where there are fewer."""
+    rows = training_rows(docs, labels, label, most)
+    units = vocabulary(rows)
+    vectors = train_vectors(rows, units)
+    shared = docs.sparkSession.sparkContext.broadcast((units, vectors))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, vectors = shared.value
         for batch in slices(batches, "text", 1 << 20):
-            x = pool(batch.column(1).to_pylist(), table)
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "label", "x"])
+            x = pool(batch.column(2).to_pylist(), units, vectors)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "label", "x"])
 
-    rows = sized_join(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")), chosen, ["id"], "inner", most)
-    got = rows.select("id", "text", "label").mapInArrow(run, "id long, label int, x binary").toPandas().sort_values(["id", "label", "x"])
+    got = rows.select("id", "label", "text").mapInArrow(run, "id long, label int, x binary").toPandas().sort_values(["id", "label", "x"])
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), DIMENSIONS + 1)
-    return train(x, got["label"].to_numpy())
+    return Model(units, vectors, train(x, got["label"].to_numpy()))
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, most: int = MOST_LABELLED) -> DataFrame:
@@ -189,12 +315,11 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
     without labels every score is 1; an empty table gives an empty one; other
     columns are ignored.
     """
-    net = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, most))
-    table = index_vectors()
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            score = net.value.scores(pool(batch.column(2).to_pylist(), table))
+            score = model.value.scores(batch.column(2).to_pylist())
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out("doc_id").alias("held_out"), F.col("text").cast("string"))
@@ -202,13 +327,17 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, most: int = MOST_LABELLED) -> DataFrame:
-    """The rows of `docs` that the classifier accepts, with all their columns and no shuffle."""
-    net = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, most))
-    table = index_vectors()
+    """The rows of `docs` that the classifier accepts, with all their columns and no shuffle.
+
+    Defined results are those of `classify`: a null or empty text is kept or not
+    by its score, repeated rows alike, an empty table gives an empty one, and
+    other columns, whatever their names, pass through.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, most))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            yield batch.filter(pa.array(net.value.scores(pool(batch.column(at).to_pylist(), table)) >= threshold))
+            yield batch.filter(pa.array(model.value.scores(batch.column(at).to_pylist()) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
