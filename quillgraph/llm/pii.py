@@ -2,20 +2,25 @@
 
 Numbers and dates that pass their check (Luhn, ranges, calendar, country sums) are
 permuted within their own format by a keyed Feistel network, so a pseudonym is as
-valid as the value, equal values have equal pseudonyms in every document, and the
-holder of the key can undo them. The name of a mail address is permuted in the same
-way letter by letter; a secret is not to be undone, and becomes a keyed digest in its
-own alphabet. Everything else in a text stays as it is.
+valid as the value, and the holder of the key can undo it. What is permuted is the
+value, not its notation: equal values have equal pseudonyms in every document, however
+a date is written and whether or not a phone number has its country's code. The name of
+a mail address is permuted in the same way, letters within their kind; a secret is not
+to be undone, and becomes a keyed digest in its own alphabet. Everything else in a text
+stays as it is, numbers that fail their check too.
 """
 
 from __future__ import annotations
 
+import bisect
 import calendar
 import datetime
 import hashlib
 import hmac
 import math
 import re
+import string
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -74,31 +79,23 @@ def only_digits(text: str) -> str:
 
 
 def card(key: bytes, text: str, undo: bool = False) -> str | None:
-    """13 to 19 digits. A number with a right check digit keeps one; any other 16-digit number is permuted among those with a wrong one."""
+    """13 to 19 digits with a right check digit, which the pseudonym has as well."""
     digits = only_digits(text)
-    body, last = digits[:-1], int(digits[-1])
-    right = luhn(body) == last
-    if not right and len(digits) != 16:
+    body = digits[:-1]
+    if luhn(body) != int(digits[-1]):
         return None
-    size = 10 ** len(body)
-    if right:
-        found = f"{permute(key, f'card{len(digits)}', int(body), size, undo):0{len(body)}d}"
-        return refill(text, found + str(luhn(found)))
-    # The check digit is off by 1 to 9: permuted together with the body.
-    off = (last - luhn(body)) % 10 - 1
-    n = permute(key, f"number{len(digits)}", int(body) * 9 + off, size * 9, undo)
-    found = f"{n // 9:0{len(body)}d}"
-    return refill(text, found + str((luhn(found) + n % 9 + 1) % 10))
+    found = f"{permute(key, f'card{len(digits)}', int(body), 10 ** len(body), undo):0{len(body)}d}"
+    return refill(text, found + str(luhn(found)))
 
 
 def phone(key: bytes, text: str, undo: bool = False) -> str | None:
-    """The country code and the format stay, all other digits are permuted."""
+    """A country's code and the format stay; the digits behind the code are permuted, alike with and without it."""
     digits = only_digits(text)
     if not 7 <= len(digits) <= 15:
         return None
     code = len(only_digits(re.match(r"\+\d{1,3}(?=\D)|", text)[0]))
-    size = 10 ** (len(digits) - code)
-    return refill(text, digits[:code] + f"{permute(key, f'phone{len(digits)}', int(digits[code:]), size, undo):0{len(digits) - code}d}")
+    n = len(digits) - code
+    return refill(text, digits[:code] + f"{permute(key, f'phone{n}', int(digits[code:]), 10**n, undo):0{n}d}")
 
 
 def ip(key: bytes, text: str, undo: bool = False) -> str | None:
@@ -143,7 +140,12 @@ _DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST
 
 
 def date(key: bytes, text: str, undo: bool = False) -> str | None:
-    """A calendar date of 1900 to 2099; year first, else day first unless only month first is a date. The order and marks stay."""
+    """A calendar date of 1900 to 2099; year first, else day first unless only month first is a date. The order and marks stay.
+
+    Dates are permuted by value in two classes, those whose day can be a month too
+    and the others: so a pseudonym is read in the order that its date was, and one
+    date has one pseudonym in all notations. A day of one digit may become one of two.
+    """
     parts = re.split(r"\D", text)
     y, m, d = (int(parts[k]) for k in ((0, 1, 2) if len(parts[0]) == 4 else (2, 1, 0)))
     month_first = len(parts[0]) != 4 and m > 12
@@ -151,13 +153,9 @@ def date(key: bytes, text: str, undo: bool = False) -> str | None:
         m, d = d, m
     if not (1900 <= y < 2100 and 1 <= m <= 12 and 1 <= d <= calendar.monthrange(y, m)[1]):
         return None
-    # Dates that only month first can read are permuted among themselves (days over 12), the others likewise: so undoing reads the same order.
-    if len(parts[0]) != 4:
-        days = _days(month_first)
-        n = days.index(datetime.date(y, m, d).toordinal()) if month_first else _ordinal_index(datetime.date(y, m, d).toordinal())
-        found = datetime.date.fromordinal(days[permute(key, f"date{month_first}", n, len(days), undo)])
-    else:
-        found = datetime.date.fromordinal(_FIRST + permute(key, "date", datetime.date(y, m, d).toordinal() - _FIRST, _DAYS, undo))
+    days = _days(d > 12)
+    n = bisect.bisect_left(days, datetime.date(y, m, d).toordinal())
+    found = datetime.date.fromordinal(days[permute(key, f"date{d > 12}", n, len(days), undo)])
     one, two = (found.month, found.day) if month_first else (found.day, found.month)
     values = (found.year, found.month, found.day) if len(parts[0]) == 4 else (one, two, found.year)
     marks = re.findall(r"\D", text)
@@ -166,37 +164,43 @@ def date(key: bytes, text: str, undo: bool = False) -> str | None:
 
 @lru_cache(2)
 def _days(over_twelve: bool) -> list[int]:
-    """Ordinals of all dates, or of those whose day is over 12."""
-    return [n for n in range(_FIRST, _FIRST + _DAYS) if not over_twelve or datetime.date.fromordinal(n).day > 12]
+    """Ordinals of the dates whose day is over 12, or of the others, in order."""
+    return [n for n in range(_FIRST, _FIRST + _DAYS) if (datetime.date.fromordinal(n).day > 12) == over_twelve]
 
 
-def _ordinal_index(n: int) -> int:
-    return n - _FIRST
+@lru_cache(4096)
+def _kind(c: str) -> str:
+    """All characters of one kind: ASCII digits, ASCII letters of a case, else the word characters of a category within 128 places; empty for marks."""
+    if c.isascii():
+        return next((k for k in (string.digits, string.ascii_lowercase, string.ascii_uppercase) if c in k), "")
+    if not c.isalnum():
+        return ""
+    start = ord(c) & ~127
+    return "".join(x for x in map(chr, range(start, start + 128)) if x.isalnum() and unicodedata.category(x) == unicodedata.category(c))
 
 
 def letters(key: bytes, tweak: str, text: str, undo: bool = False) -> str:
     """Letters and digits are permuted within their own kind, all of a text together; other characters stay."""
-    kinds = [(48, 10) if c.isdigit() and c.isascii() else (97, 26) if "a" <= c <= "z" else (65, 26) if "A" <= c <= "Z" else None for c in text]
+    kinds = list(map(_kind, text))
     value, size = 0, 1
     for c, k in zip(text, kinds):
         if k:
-            value, size = value * k[1] + ord(c) - k[0], size * k[1]
-    shape = "".join("." if k is None else chr(k[0]) for k in kinds)
+            value, size = value * len(k) + k.index(c), size * len(k)
+    shape = "".join(k[0] if k else "." for k in kinds)
     value = permute(key, f"{tweak}{shape}", value, size, undo)
     out = []
     for c, k in zip(reversed(text), reversed(kinds)):
         if k:
-            value, n = divmod(value, k[1])
-            c = chr(k[0] + n)
+            value, n = divmod(value, len(k))
+            c = k[n]
         out.append(c)
     return "".join(reversed(out))
 
 
 def email(key: bytes, text: str, undo: bool = False) -> str | None:
-    """The name before the @ is permuted; letters outside a-z, A-Z become keyed letters of the same number. The domain stays."""
+    """The name before the @ is permuted, one to one in every alphabet. The domain stays."""
     name, _, domain = text.rpartition("@")
-    plain = "".join(c if c.isascii() else chr(97 + int.from_bytes(hmac.digest(key, f"letter{i}{c}".encode(), "sha256")[:4], "big") % 26) for i, c in enumerate(name))
-    return f"{letters(key, 'mail', plain, undo)}@{domain}"
+    return f"{letters(key, 'mail', name, undo)}@{domain}"
 
 
 def secret(key: bytes, text: str, undo: bool = False) -> str | None:
@@ -227,7 +231,8 @@ PATTERN = re.compile(
     r"|(?<![\w.+-])(?P<card>\d{4}(?P<m3>[ -]?)\d{4}(?P=m3)\d{4}(?P=m3)\d{1,7}|\d{4}[ -]?\d{6}[ -]?\d{5})(?![\w-])"
     r"|(?<![\w.-])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w-])",
 )
-_START = re.compile(r"[0-9@:=]")
+#: What a line has if the pattern fits anywhere in it: a digit, or a mark or word that a secret or address has.
+_START = re.compile(r"[\d@:=]|AKIA|ASIA|gh[pousr]_|sk-")
 METHODS: dict[str, Callable] = {"email": email, "phone": phone, "card": card, "ip": ip, "ssn": ssn, "iban": iban, "date": date, "secret": secret, "secret2": secret}
 
 
@@ -248,7 +253,7 @@ def pseudonymize(text: str, key: bytes, undo: bool = False) -> tuple[str, list[t
 
 
 def _lines(text: str, key: bytes) -> tuple[str, list[str]]:
-    """Only lines that hold a digit, an @ or a word before a secret are searched; no pattern reaches over a line's end."""
+    """Only lines that hold what `_START` names are searched; no pattern reaches over a line's end."""
     if not _START.search(text):
         return text, []
     lines, kinds = text.split("\n"), []
@@ -260,7 +265,11 @@ def _lines(text: str, key: bytes) -> tuple[str, list[str]]:
 
 
 def replace_pii(docs: DataFrame, key: str) -> DataFrame:
-    """The rows of `docs` with `text` pseudonymized; all columns stay, no shuffle. Null texts stay null."""
+    """The rows of `docs` with `text` pseudonymized; all columns, whatever their names, stay, and there is no shuffle.
+
+    Defined results: null texts stay null and empty ones empty; repeated rows give
+    repeated results; an empty table gives an empty one.
+    """
     at, secret_key = docs.columns.index("text"), key.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
