@@ -71,6 +71,47 @@ def test_near_duplicates_odd_rows(spark):
     assert neardup.near_duplicates(df.where("1 = 0")).count() == 0
 
 
+def alike(n=500, words=400, changed=45, seed=9):
+    """Many texts of one base: a third are changed in a few places and linked, the others in so many that they aren't, but alike enough to share bands."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    docs = {}
+    for i in range(n):
+        copy = list(base)
+        for k in rng.sample(range(words), rng.randint(6, changed) if i % 3 else 3):
+            copy[k] = f"x{rng.randrange(1 << 30)}"
+        docs[i] = " ".join(copy)
+    return docs
+
+
+def test_large_bucket_of_alike_texts(spark, monkeypatch):
+    """Buckets of hundreds of texts that are mostly not linked, in blocks of a few rows: the same as each with each."""
+    monkeypatch.setattr(neardup, "BLOCK", 32)
+    docs = alike()
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    rows = neardup.near_duplicates(df, 80).collect()
+    expected = brute_components(docs, 80)
+    assert 50 < len({c for _, c in expected.values()}) < 500
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == expected
+
+
+def test_near_duplicates_of_documents(spark):
+    """All documents of sf0.01 against brute force, which compares each with each: no link is lost."""
+    df = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    docs = {r["doc_id"]: r["text"] for r in df.collect()}
+    rows = neardup.near_duplicates(df, 85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute_components(docs, 85)
+
+
+def test_one_id_on_different_texts(spark):
+    """Rows of one doc_id are one document: links of any of its texts join them all. A very long text is like any other."""
+    long = " ".join(f"v{i}" for i in range(60_000))
+    rows = [(5, "a b c d e f"), (1, "a b c d e f"), (5, "q r s t u v"), (9, "q r s t u v"), (7, "other words are here now"), (3, long), (4, long + " end"), (4, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(df).collect())
+    assert found == [(1, 1), (3, 3), (4, 3), (4, 3), (5, 1), (5, 1), (7, 7), (9, 1)]
+
+
 def test_components_of_chains(spark):
     rng = random.Random(2)
     edges = [(a, a + 1) for a in range(0, 60) if a % 20 != 19] + [(100, k) for k in range(101, 130)]
