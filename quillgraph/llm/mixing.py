@@ -22,11 +22,16 @@ from quillgraph.llm.shared import sized_join, written
 
 LEAF = ["domain", "lang", "source"]
 MIXED = ["doc_id", *LEAF, "epoch", "n_tokens"]
+#: Documents of the corpus for each range of digests, about.
+RANGE_ROWS = 1024
 
 
 @dataclass
 class Mix:
-    """Weights are whole numbers; `share` percent of all tokens are the budget. A name that isn't listed has weight `other`."""
+    """Weights are whole numbers from 0; `share` percent of all tokens are the budget. A name that isn't listed has weight `other`.
+
+    A child of weight 0 has no room, so it gets no budget, whatever its siblings lack.
+    """
 
     domains: dict[str, int] = field(default_factory=lambda: {"web": 50, "books": 30, "code": 15})
     langs: dict[str, int] = field(default_factory=lambda: {"en": 60, "de": 15, "fr": 15, "es": 10})
@@ -60,6 +65,8 @@ def share_out(children: DataFrame, parent: list[str], name: str) -> DataFrame:
     Children are taken from the least room for their weight on: one whose part of
     what is left is more than its room takes its room; the others share the rest.
     """
+    # A weight of 0 leaves no room; as 1 with no room it is full from the start and takes nothing.
+    children = children.withColumn("room", F.when(F.col("weight") > 0, F.col("room")).otherwise(0)).withColumn("weight", F.greatest("weight", F.lit(1)))
     order = [(F.col("room") / F.col("weight")), F.col(name)]
     w = Window.partitionBy(*parent).orderBy(*order) if parent else Window.partitionBy(F.lit(0)).orderBy(*order)
     whole = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
@@ -74,9 +81,10 @@ def share_out(children: DataFrame, parent: list[str], name: str) -> DataFrame:
 
 def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """The budget of each leaf (domain, lang, source, tokens)."""
-    leaves = leaves.withColumn("room", F.col("tokens") * mix.max_epochs)
-    langs = leaves.groupBy("domain", "lang").agg(F.sum("room").alias("room"))
-    domains = langs.groupBy("domain").agg(F.sum("room").alias("room"))
+    room = lambda name: F.when(mix.weight(name, F.col(name)) > 0, F.col("room")).otherwise(0)
+    leaves = leaves.withColumn("room", F.col("tokens") * mix.max_epochs).withColumn("room", room("source"))
+    langs = leaves.groupBy("domain", "lang").agg(F.sum("room").alias("room")).withColumn("room", room("lang"))
+    domains = langs.groupBy("domain").agg(F.sum("room").alias("room")).withColumn("room", room("domain"))
     # One number goes to the driver: the budget of the tree's root.
     total = leaves.agg(F.expr(f"coalesce(sum(tokens), 0) * {mix.share} div 100")).first()[0]
     top = share_out(domains.withColumn("weight", mix.weight("domain", F.col("domain"))).withColumn("budget", F.lit(total).cast("long")), [], "domain")
@@ -85,9 +93,9 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
 
 
 def leaf_rows(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
-    """doc_id, domain, lang, source and n_tokens of each document; null names are empty."""
+    """doc_id, domain, lang, source, n_tokens and a hash of the text of each document; null names are empty."""
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "source"))
-    return docs.select(F.col("doc_id").cast("long"), domain_of(source).alias("domain"), lang.alias("lang"), source.alias("source"), (count_words(F.col("text")) if tokens is None else tokens).alias("n_tokens"))
+    return docs.select(F.col("doc_id").cast("long"), domain_of(source).alias("domain"), lang.alias("lang"), source.alias("source"), (count_words(F.col("text")) if tokens is None else tokens).alias("n_tokens"), F.xxhash64("text").alias("text_hash"))
 
 
 def mix_sources(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
@@ -102,7 +110,13 @@ def mix_sources(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     null; repeated rows are documents of their own; an empty table gives an
     empty one; other columns are ignored.
     """
-    mix = mix or Mix()
+    both = taken_rows(docs, mix or Mix())
+    # Exploded by whole epochs: at most max_epochs rows a document.
+    return both.select("doc_id", *LEAF, F.explode(F.expr("sequence(0, cast(copies as int) - 1)")).alias("epoch"), "n_tokens")
+
+
+def taken_rows(docs: DataFrame, mix: Mix) -> DataFrame:
+    """The documents that `mix_sources` takes and in how many epochs: doc_id, domain, lang, source, n_tokens, text_hash, copies."""
     rows = written(leaf_rows(docs), "leaves")
     leaves = rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"))
     plan = budgets(leaves, mix).select(*LEAF, "tokens", "budget")
@@ -110,30 +124,55 @@ def mix_sources(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     plan = written(plan.withColumn("full", F.expr("if(tokens = 0, 1, budget div tokens)")).withColumn("rest", F.expr("if(tokens = 0, -1, budget % tokens)")), "budgets")
     digits = 1
     n = rows.count()
-    while n > 1024 * 16**digits:
+    while n > RANGE_ROWS * 16**digits:
         digits += 1
     key = F.md5(F.concat_ws("|", F.lit(str(mix.seed)), F.col("full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     rows = sized_join(rows, plan, LEAF, "inner").withColumn("digest", key).withColumn("bucket", F.left("digest", F.lit(digits)))
-    # Sums of each range of digests, and of those before it. A leaf has 16 ** digits ranges, about one for 1024 documents of the corpus.
-    sums = rows.groupBy(*LEAF, "bucket").agg(F.sum("n_tokens").alias("inside"))
-    before = Window.partitionBy(*LEAF).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = written(sums.select(*LEAF, "bucket", "inside", F.coalesce(F.sum("inside").over(before), F.lit(0)).alias("before")), "ranges")
+    # Sums of each range of digests. A leaf has 16 ** digits ranges, about one for RANGE_ROWS documents of the corpus.
+    sums = written(rows.groupBy(*LEAF, "bucket").agg(F.sum("n_tokens").alias("inside")), "sums")
+    # Sums before each range in two levels: over groups of at most 4096 ranges, and within each group.
+    coarse = max(0, digits - 3)
+    sums = sums.withColumn("group", F.left("bucket", F.lit(coarse)))
+    by_bucket = Window.partitionBy(*LEAF, "group").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    by_group = Window.partitionBy(*LEAF).orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = sums.groupBy(*LEAF, "group").agg(F.sum("inside").alias("all")).select(*LEAF, "group", F.coalesce(F.sum("all").over(by_group), F.lit(0)).alias("start"))
+    sums = sums.withColumn("within", F.coalesce(F.sum("inside").over(by_bucket), F.lit(0))).join(groups, [*LEAF, "group"])
+    sums = written(sums.select(*LEAF, "bucket", "inside", (F.col("start") + F.col("within")).alias("before")), "ranges")
     rows = sized_join(rows, sums, [*LEAF, "bucket"], "inner")
     # Only the range in which the prefix ends is summed row by row.
     end = (F.col("before") <= F.col("rest")) & (F.col("before") + F.col("inside") > F.col("rest"))
-    row = Window.partitionBy(*LEAF, "bucket").orderBy("digest", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    row = Window.partitionBy(*LEAF, "bucket").orderBy("digest", "doc_id", "n_tokens", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
     ending = rows.where(end).withColumn("taken", (F.col("before") + F.sum("n_tokens").over(row) <= F.col("rest")).cast("int"))
     others = rows.where(~end).withColumn("taken", (F.col("before") + F.col("inside") <= F.col("rest")).cast("int"))
-    # Exploded by whole epochs: at most max_epochs rows a document.
     both = ending.unionByName(others).withColumn("copies", F.col("full") + F.col("taken")).where("copies > 0")
-    return both.select("doc_id", *LEAF, F.explode(F.expr("sequence(0, cast(copies as int) - 1)")).alias("epoch"), "n_tokens")
+    return both.select("doc_id", *LEAF, "n_tokens", "text_hash", "copies")
 
 
 def keep_mixed(docs: DataFrame, mix: Mix) -> DataFrame:
-    """The rows of `docs` that one epoch of the mix takes, with all columns; rows without doc_id stay, as nothing names them."""
-    taken = written(mix_sources(docs, Mix(**{**mix.__dict__, "max_epochs": 1})).select("doc_id").where("doc_id is not null").distinct(), "taken")
-    named = sized_join(docs.where("doc_id is not null"), taken, ["doc_id"], "left_semi")
-    return named.unionByName(docs.where("doc_id is null"))
+    """The rows of `docs` that one epoch of the mix takes, with all columns.
+
+    Rows are told apart by doc_id, leaf and a hash of their text, so a doc_id that
+    occurs with several texts is kept with those that are taken, and a null doc_id
+    is taken or not like any other. Rows alike in all of these are interchangeable:
+    where a budget ends among them, as many stay as it takes, which happens once a
+    leaf at most. Columns may have any names; an empty table gives an empty one.
+    """
+    one = Mix(**{**mix.__dict__, "max_epochs": 1})
+    on = ["__id", *(f"__{c}" for c in LEAF), "__hash"]
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    names = dict(zip(on, [ident, *map(F.col, LEAF), F.col("text_hash")]))
+    taken = written(taken_rows(docs, one).groupBy(*(c.alias(n) for n, c in names.items())).agg(F.count("*").alias("__times")), "taken")
+    lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "source"))
+    keyed = docs.select("*", *(c.alias(n) for n, c in zip(on, [ident, domain_of(source), lang, source, F.xxhash64("text")])))
+    counts = keyed.groupBy(*on).agg(F.count("*").alias("__rows"))
+    # Keys of which some rows are taken and some aren't: one a leaf at most.
+    part = written(counts.where("__rows > 1").join(taken, on).where("__times < __rows").drop("__rows"), "parted")
+    found = sized_join(keyed, taken.drop("__times"), on, "left_semi")
+    if part.isEmpty():
+        return found.select(*docs.columns)
+    rank = Window.partitionBy(*on).orderBy("__hash")
+    some = sized_join(found, part, on, "inner").withColumn("__rank", F.row_number().over(rank)).where("__rank <= __times")
+    return sized_join(found, part.drop("__times"), on, "left_anti").select(*docs.columns).unionByName(some.select(*docs.columns))
 
 
 def oracle(mix: Mix, docs: str = "documents") -> str:
