@@ -33,7 +33,7 @@ MAGIC = b"DAC1"
 BLOCK_TOKENS = 1 << 19
 WORD, RANK = 64, 512
 
-TOKENS = "doc_id long, start long, n_tokens long, ids_crc32 long"
+CHECKED = "doc_id long, start long, n_tokens long, ids_crc32 long, first_id long, last_id long"
 
 
 def encode_block(ids: np.ndarray) -> tuple[bytes, list[int]]:
@@ -147,6 +147,35 @@ class Reader:
             i = int.from_bytes(self._read(offset + ranks + i // RANK * 4, 4), "little") + int(word[:-1].sum())
         return value
 
+    def tokens(self, at: np.ndarray) -> np.ndarray:
+        """Ids at many places of the file, each found as `token` does, level by level; no block is decoded.
+
+        Of a level only what the places touch is looked at: a chunk, the bits from
+        a directory entry to the place, and that entry.
+        """
+        out, block_of = np.zeros(len(at), np.uint32), np.searchsorted(self.firsts, at, side="right") - 1
+        for b in np.unique(block_of).tolist():
+            mine = np.flatnonzero(block_of == b)
+            offset, sizes = self.blocks[b]
+            raw = np.frombuffer(self._read(offset, level_places(sizes)[-1][2] + -(-sizes[-1] // RANK) * 4), np.uint8)
+            i, value = at[mine] - self.firsts[b], np.zeros(len(mine), np.uint32)
+            live = np.arange(len(mine))
+            for level, (n, (chunks, bits, ranks)) in enumerate(zip(sizes, level_places(sizes))):
+                value[live] |= raw[chunks + i].astype(np.uint32) << np.uint32(8 * level)
+                more = (raw[bits + i // 8] >> (i % 8).astype(np.uint8)) & 1 == 1
+                live, i = live[more], i[more]
+                if not len(live):
+                    break
+                # Rank: the directory's count, and the set bits from its place on.
+                first = i // RANK * RANK
+                span = np.arange(RANK // 8)
+                bytes_ = raw[np.minimum(bits + first[:, None] // 8 + span, len(raw) - 1)]
+                keep = np.clip(i[:, None] - first[:, None] - 8 * span, 0, 8)
+                before = np.bitwise_count(bytes_ & ((1 << keep) - 1).astype(np.uint8)).sum(1, dtype=np.int64)
+                i = raw[(ranks + i // RANK * 4)[:, None] + np.arange(4)].view("<u4")[:, 0].astype(np.int64) + before
+            out[mine] = value
+        return out
+
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
         """(doc_id, ids) in file order; holds a block, or one document where that is longer."""
         blocks, held, have = iter(self.blocks), [], 0
@@ -164,13 +193,15 @@ class Reader:
 def write_files(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, rows_per_file: int = 8192, most_files: int = 100_000) -> list[tuple[int, str, int, int]]:
     """Write ids in ascending doc_id order; returns (part, file, documents, tokens) of each file in that order.
 
-    Texts are dealt by ranges of doc_id and sorted, each task streams one file.
-    A file gets its name only when it is whole, and a task that is run again
+    Texts are dealt by ranges of doc_id and, where one id has very many rows, of
+    their hash, and sorted, so each task streams one file. A file gets its name only when it is whole, and a task that is run again
     writes a new one: the list has the files of the tasks that counted.
     """
     rows = docs.count()
     n = max(1, min(most_files, -(-rows // rows_per_file)))
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("hash"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash").asc()]
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first()).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = open_fs(folder)
@@ -191,7 +222,11 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.jso
 
 
 def read_files(spark, folder: str, files: list[tuple[int, str, int, int]]) -> DataFrame:
-    """One row per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, read back from the files."""
+    """One row per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, first_id, last_id, read back from the files.
+
+    The first and the last id of each document are read by their places alone,
+    and must be those of the documents as they are decoded.
+    """
     starts = np.cumsum([0, *(f[3] for f in files)]).tolist()
     todo = spark.sparkContext.broadcast([(f[1], s) for f, s in zip(files, starts)])
 
@@ -202,8 +237,13 @@ def read_files(spark, folder: str, files: list[tuple[int, str, int, int]]) -> Da
                 name, start = todo.value[k]
                 with fs.open_input_file(f"{path}/{name}") as source:
                     rows: list = []
-                    for doc_id, ids in Reader(source).documents():
-                        rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    reader = Reader(source)
+                    ends = np.cumsum(reader.sizes)
+                    first, last = reader.tokens(ends - reader.sizes).tolist(), reader.tokens(ends - 1).tolist()
+                    for n, (doc_id, ids) in enumerate(reader.documents()):
+                        if (ids[0], ids[-1]) != (first[n], last[n]):
+                            raise ValueError(f"{name}: document {n} differs by place")
+                        rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), first[n], last[n]))
                         start += len(ids)
                         if len(rows) == 10_000:
                             yield batch_of(rows)
@@ -212,18 +252,18 @@ def read_files(spark, folder: str, files: list[tuple[int, str, int, int]]) -> Da
                         yield batch_of(rows)
 
     def batch_of(rows: list) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32", "first_id", "last_id"])
 
     n = len(files)
-    return spark.range(0, n, 1, max(1, n)).mapInArrow(run, TOKENS)
+    return spark.range(0, n, 1, max(1, n)).mapInArrow(run, CHECKED)
 
 
 def tokenize_to_files(docs: DataFrame, folder: str | None = None, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, rows_per_file: int = 8192) -> DataFrame:
     """Write the token ids of documents (doc_id, text) to files and return what reading them back gives.
 
     Defined results: null text counts as empty, so it is the end id alone; null
-    doc_ids come first; equal doc_ids are ordered by their text; an empty table
-    gives an empty one; other columns are ignored.
+    doc_ids come first; rows of equal doc_id are ordered by a hash of their text,
+    then by the text, and may be in several files; an empty table gives an empty one; other columns are ignored.
     """
     spark = docs.sparkSession
     folder = folder or work_dir(spark, "tokens")
