@@ -17,11 +17,14 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder path under the shared folder that the cluster names.
 
-    Only where the session names none (a test on one machine) a temporary
-    folder is made and set, so that every later call shares it.
+    Only where the session names none and is of one machine (a test) a temporary
+    folder is made and set, so that every later call shares it; on a cluster that
+    is an error, as executors would each write to their own disk.
     """
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
         spark.conf.set(CHECKPOINT_DIR, base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

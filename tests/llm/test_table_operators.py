@@ -289,6 +289,57 @@ def test_mixing_odd_rows(spark):
     assert mixing.keep_mixed(df, mixing.Mix(share=50)).columns == df.columns
 
 
+def test_weights_of_nothing(spark):
+    """A language, domain or source of weight 0 gives nothing, and its siblings share the budget."""
+    rows = [(i, "w " * 10, ["en", "de"][i % 2], ["src0", "src1", "src2"][i % 3]) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for mix, gone in ((mixing.Mix(langs={"en": 0, "de": 3}), "lang = 'en'"), (mixing.Mix(domains={"web": 0, "books": 2, "code": 1}), "domain = 'web'"), (mixing.Mix(sources={"src1": 0}), "source = 'src1'")):
+        out = mixing.mix_sources(df, mix)
+        assert out.where(gone).count() == 0
+        assert 1200 * mix.share // 100 - 60 <= out.agg(F.sum("n_tokens")).first()[0] <= 1200 * mix.share // 100
+    nothing = mixing.Mix(domains=dict.fromkeys(("web", "books", "code", "other"), 0))
+    assert mixing.mix_sources(df, nothing).count() == 0
+
+
+def test_keep_mixed_by_row(spark):
+    """Of rows of one doc_id as many stay as are taken; kept tokens are those of the mix."""
+    rows = [(i % 20, f"w{i} " * (1 + i % 4), "en", "src0", i) for i in range(200)] + [(None, "a b", "en", "src0", 7)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, budget int")
+    mix = mixing.Mix(share=50, max_epochs=1)
+    taken = collections.Counter((r["doc_id"], r["n_tokens"]) for r in mixing.mix_sources(df, mix).collect())
+    kept = mixing.keep_mixed(df, mix)
+    assert kept.columns == df.columns
+    assert collections.Counter((r["doc_id"], len(r["text"].split())) for r in kept.collect()) == taken and taken
+
+
+def test_ranges_of_two_levels(spark, monkeypatch):
+    """Many ranges a leaf give what one range does."""
+    rows = [(i, "w " * (i % 9), "en", f"src{i % 2}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    expected = sorted(map(tuple, mixing.mix_sources(df).collect()))
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 1)
+    assert sorted(map(tuple, mixing.mix_sources(df).collect())) == expected
+
+
+PIPELINE_COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows; and no rows at all."""
+    import corpus_pipeline
+
+    words = " ".join(f"word{i}" for i in range(40))
+    rows = [(None, words, None, None, None), (1, None, "en", "src0", 0), (2, "", "en", "src0", 0), (3, words, "en", "src1", 1), (3, words, "en", "src1", 1), (4, words + " x", None, "src1", 1), (5, "long " * 60_000, "de", None, 5), (6, "call (212) 555-0123 now", "fr", "src2", 9)]
+    docs = spark.createDataFrame(rows, PIPELINE_COLUMNS)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF)
+        assert after.columns == docs.columns and after.count() <= docs.count()
+        assert stage(spark, docs.where("1 = 0"), SF).count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.where("piece = 0").count() == len(rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.where("1 = 0"), SF).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -1,5 +1,6 @@
 """Token counts, token files, packing, media, pseudonyms, quality: brute force, round trips, odd rows."""
 
+import collections
 import hashlib
 import io
 import zlib
@@ -53,10 +54,12 @@ def test_piece_counts_equal_the_library():
 def test_token_counts(spark, odd, name):
     rows = tokencount.count_tokens(odd, name, limit=3).collect()
     assert len(rows) == len(ODD) + 1
-    if name.endswith("50k.json"):
-        enc = tokens.IdEncoder(tokens.tokenizer_path(name))
-        expected = sorted(len(whole(enc, t)) for t in [*ODD, ""])
-        assert sorted(r["n_tokens"] for r in rows) == expected
+    if name.endswith(".json"):
+        count = lambda t, enc=tokens.IdEncoder(tokens.tokenizer_path(name)): len(whole(enc, t))
+    else:
+        count = lambda t, model=tokens.PieceCounter(tokens.tokenizer_path(name), {}).model: len(model.encode(t or ""))
+    expected = [(None if i == 5 else i, len((t or "").encode()), count(t)) for i, t in enumerate(ODD)] + [(0, 0, count(""))]
+    assert sorted([(r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in rows], key=str) == sorted(expected, key=str)
     assert all(r["over_limit"] == (r["n_tokens"] > 3) for r in rows)
     assert tokencount.count_tokens(odd.where("1 = 0"), name).count() == 0
 
@@ -68,11 +71,27 @@ def test_token_files(spark, odd, encoder):
     assert [r["start"] for r in in_order] == np.cumsum([0, *(r["n_tokens"] for r in in_order)])[:-1].tolist()
     ids = [r["doc_id"] for r in in_order]
     assert ids[0] is None and ids[1:] == sorted(ids[1:])
-    one = next(r for r in rows if r["doc_id"] == 7)
-    assert one["ids_crc32"] == zlib.crc32(np.array([*whole(encoder, ODD[7]), 0], "<u4").tobytes())
+    for r in rows:
+        if r["doc_id"] not in (None, 0):
+            expected = [*whole(encoder, ODD[r["doc_id"]]), 0]
+            assert (r["n_tokens"], r["ids_crc32"]) == (len(expected), zlib.crc32(np.array(expected, "<u4").tobytes()))
+            assert (r["first_id"], r["last_id"]) == (expected[0], 0)
     assert tokenfile.tokenize_to_files(odd.where("1 = 0")).count() == 0
 
 
+def test_token_files_of_one_id(spark, encoder, tmp_path):
+    """Rows of one doc_id go to several files; one very long text among them."""
+    df = spark.createDataFrame([(7, f"text {i}") for i in range(200)] + [(3, "b"), (9, "long " * 300_000), (None, "a")], "doc_id long, text string")
+    folder = f"file://{tmp_path}/ids"
+    files = tokenfile.write_files(df, folder, rows_per_file=40)
+    assert len(files) > 3 and max(f[2] for f in files) < 150
+    rows = tokenfile.read_files(spark, folder, files).collect()
+    in_order = sorted(rows, key=lambda r: r["start"])
+    assert [r["doc_id"] for r in in_order] == [None, 3] + [7] * 200 + [9]
+    assert [r["start"] for r in in_order] == np.cumsum([0, *(r["n_tokens"] for r in in_order)])[:-1].tolist()
+    assert collections.Counter(r["ids_crc32"] for r in rows) == collections.Counter(zlib.crc32(np.array([*whole(encoder, r["text"]), 0], "<u4").tobytes()) for r in df.collect())
+
+
 class Bytes(io.BytesIO):
     def size(self):
         return len(self.getvalue())
@@ -90,6 +109,8 @@ def test_random_access(docs):
     assert [(i, d.tolist()) for i, d in r.documents()] == list(enumerate(docs))
     flat = [x for d in docs for x in d]
     assert [r.token(i) for i in range(len(flat))] == flat
+    places = np.arange(len(flat))[::-1]
+    assert r.tokens(places).tolist() == flat[::-1]
 
 
 def test_packing(spark, odd, encoder):
