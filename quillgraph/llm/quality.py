@@ -42,7 +42,8 @@ MOST_LABELLED = 12_000
 TRAINERS, ROWS_SENT = 12, 1024
 
 _MARKS = ".,;:!?\"'()[]{}#*$%&|<>=+-_/\\~^@"
-_KEPT = 300_000
+#: Words in a worker's cache before it is emptied.
+_KEPT = 150_000
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
 
 
