@@ -43,7 +43,7 @@ TRAINERS, ROWS_SENT = 12, 1024
 
 _MARKS = ".,;:!?\"'()[]{}#*$%&|<>=+-_/\\~^@"
 #: Words in a worker's cache before it is emptied.
-_KEPT = 150_000
+_KEPT = 60_000
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
 
 

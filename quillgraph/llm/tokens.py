@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 
 #: Entries kept in a worker's cache before it is emptied; about 100 bytes each.
-CACHE_ENTRIES = 1_200_000
+CACHE_ENTRIES = 900_000
 #: Longer pieces are encoded but not kept.
 CACHE_CHARS = 48
 
