@@ -52,10 +52,12 @@ ENTITIES_SQL = """ent AS (SELECT l_suppkey::VARCHAR AS doc_id, (l_orderkey * 10
 
 
 def order_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 100).cast("string").alias("doc_id"), F.col("o_orderkey").alias("range_id"), F.col("o_custkey").alias("from_byte"), (F.col("o_custkey") + 5 + F.col("o_orderkey") % 20).alias("to_byte"))
+    """A range for each order, dealt over the documents of all suppliers, whose keys are 0 to their number less one."""
+    suppliers = table(spark, sf_dir, "supplier").count()
+    return table(spark, sf_dir, "orders").select((F.col("o_orderkey") % suppliers).cast("string").alias("doc_id"), F.col("o_orderkey").alias("range_id"), F.col("o_custkey").alias("from_byte"), (F.col("o_custkey") + 5 + F.col("o_orderkey") % 20).alias("to_byte"))
 
 
-RANGES_SQL = "rng AS (SELECT (o_orderkey % 100)::VARCHAR AS doc_id, o_orderkey AS range_id, o_custkey AS from_byte, o_custkey + 5 + o_orderkey % 20 AS to_byte FROM orders)"
+RANGES_SQL = "rng AS (SELECT (o_orderkey % (SELECT count(*) FROM supplier))::VARCHAR AS doc_id, o_orderkey AS range_id, o_custkey AS from_byte, o_custkey + 5 + o_orderkey % 20 AS to_byte FROM orders)"
 
 
 def order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -42,11 +42,14 @@ def tooltip_point_lookup(spark, sf):
     return graph.tooltip_at(corpus.lineitem_entities(spark, sf), points).select("point_id", "entity_id")
 
 
-@query("gutter_line_overlap", f"""WITH {ENTITIES_SQL}, lines AS (SELECT DISTINCT (s_suppkey)::VARCHAR AS doc_id, i AS line_no, i * 50 AS line_start, i * 50 + 50 AS line_end FROM supplier, range(20) t(i)),
+@query("gutter_line_overlap", f"""WITH {ENTITIES_SQL}, far AS (SELECT doc_id, max(greatest(span_start, coalesce(span_end, 0))) // 50 AS last FROM ent GROUP BY doc_id), lines AS (SELECT doc_id, i AS line_no, i * 50 AS line_start, i * 50 + 50 AS line_end FROM far, LATERAL (SELECT unnest(range(last + 1)) AS i)),
  hit AS (SELECT l.doc_id, line_no, CASE WHEN len(types) = 0 THEN '#6B7280' WHEN types[1] LIKE '%Person' THEN '#F59E0B' ELSE '#14B8A6' END AS color, min(ord) AS o FROM lines l JOIN ent USING (doc_id) WHERE line_start < coalesce(span_end, 9223372036854775807) AND span_start < line_end GROUP BY ALL)
  SELECT doc_id, line_no, string_agg(color, ',' ORDER BY o) AS colors FROM hit GROUP BY ALL""")
 def gutter_line_overlap(spark, sf):
-    lines = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("n")).select("doc_id", F.col("n").cast("long").alias("line_no"), (F.col("n") * 50).cast("long").alias("line_start"), (F.col("n") * 50 + 50).cast("long").alias("line_end"))
+    """Every document has as many lines of 50 bytes as its farthest span needs."""
+    last = F.expr("max(greatest(span_start, coalesce(span_end, 0))) div 50")
+    far = corpus.lineitem_entities(spark, sf).groupBy("doc_id").agg(last.alias("last"))
+    lines = far.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("n")).select("doc_id", F.col("n").cast("long").alias("line_no"), (F.col("n") * 50).cast("long").alias("line_start"), (F.col("n") * 50 + 50).cast("long").alias("line_end"))
     return graph.gutter(corpus.lineitem_entities(spark, sf), lines)
 
 
@@ -70,9 +73,11 @@ def sort_intervals(spark, sf):
     return spans.indexed(corpus.lineitem_entities(spark, sf)).select("doc_id", F.row_number().over(order).cast("long").alias("pos"), "span_start")
 
 
-@query("decoration_filter", f"WITH {ENTITIES_SQL} SELECT e.doc_id, count(*) AS n, sum(least(coalesce(span_end, 500), 500))::BIGINT AS ends, count(*) FILTER (status = 1) AS n_stale FROM ent e WHERE span_start < least(coalesce(span_end, 500), 500) GROUP BY e.doc_id")
+@query("decoration_filter", f"WITH {ENTITIES_SQL}, sizes AS (SELECT doc_id, max(span_start) + 9 AS size FROM ent GROUP BY doc_id) SELECT e.doc_id, count(*) AS n, sum(least(coalesce(span_end, size), size))::BIGINT AS ends, count(*) FILTER (status = 1) AS n_stale FROM ent e JOIN sizes USING (doc_id) WHERE span_start < least(coalesce(span_end, size), size) GROUP BY e.doc_id")
 def decoration_filter(spark, sf):
-    docs = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("doc_id"), F.repeat(F.lit("x"), 500).alias("source"))
+    """Every document ends a little behind its last span's start, so ends are cut in all."""
+    docs = corpus.lineitem_entities(spark, sf).groupBy("doc_id").agg((F.max("span_start") + 9).cast("int").alias("size"))
+    docs = docs.select("doc_id", F.expr("repeat('x', size)").alias("source"))
     d = graph.decorations(corpus.lineitem_entities(spark, sf), docs)
     return d.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("to").alias("ends"), F.count_if(F.col("style") == "entity-stale").alias("n_stale"))
 
