@@ -32,9 +32,9 @@ def literal(text: Column) -> Column:
     return F.concat(F.lit('"'), escape_turtle(text), F.lit('"'))
 
 
-def turtle_triples(nodes: DataFrame, contents: DataFrame) -> DataFrame:
+def turtle_triples(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, pos, subject, predicate, object) of typed nodes, in Turtle's notation."""
-    rows = nodes.where(has_type()).join(contents, ["doc_id", "node_id"]).withColumn("label", trim_text(F.col("text_content")))
+    rows = nodes.where(has_type()).withColumn("label", trim_text(F.col("text_content")))
     by_text = F.concat(F.lit("<#"), slugify(F.col("label")), F.lit(">"))
     outside = F.filter("annotations", lambda a: (a["kind"] == "external") & a["system"].isin("wikidata", "doi"))
     subject = (
@@ -70,18 +70,18 @@ def group_by_subject(triples: DataFrame) -> DataFrame:
     return grouped
 
 
-def render_turtle(headers: DataFrame, nodes: DataFrame, contents: DataFrame) -> DataFrame:
+def render_turtle(headers: DataFrame, nodes: DataFrame) -> DataFrame:
     """(doc_id, text) in Turtle."""
-    grouped = group_by_subject(turtle_triples(nodes, contents).unionByName(document_triples(headers)))
+    grouped = group_by_subject(turtle_triples(nodes).unionByName(document_triples(headers)))
     block = F.concat("subject", F.lit(" "), F.array_join(F.transform("pairs", lambda p: F.concat(p["predicate"], F.lit(" "), p["object"])), " ;\n    "), F.lit(" .\n\n"))
     body = grouped.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", block.alias("block")))).alias("blocks"))
     head = F.array_join(F.transform(sorted_entries(F.col("prefixes")), lambda e: F.concat(F.lit("@prefix "), e["key"], F.lit(": <"), e["value"], F.lit("> .\n"))), "")
     return headers.join(body, "doc_id", "left").select("doc_id", F.concat(head, F.lit("\n"), F.coalesce(F.array_join("blocks.block", ""), F.lit(""))).alias("text"))
 
 
-def jsonld_pairs(nodes: DataFrame, contents: DataFrame) -> DataFrame:
+def jsonld_pairs(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, key, value): for each typed node, the last value that each key is given."""
-    rows = nodes.where(has_type()).join(contents, ["doc_id", "node_id"])
+    rows = nodes.where(has_type())
     named = F.col("kind").isin("Section", "InlineDirective") & (F.col("text_content") != "")
 
     def one(a: Column) -> Column:
@@ -99,9 +99,9 @@ def jsonld_pairs(nodes: DataFrame, contents: DataFrame) -> DataFrame:
     return each.groupBy("doc_id", "node_id", F.col("t.key").alias("key")).agg(F.max_by("t.value", "pos").alias("value"))
 
 
-def render_jsonld(headers: DataFrame, nodes: DataFrame, contents: DataFrame) -> DataFrame:
+def render_jsonld(headers: DataFrame, nodes: DataFrame) -> DataFrame:
     """(doc_id, text): JSON-LD with sorted keys; one object where a typed document is all there is, else a graph."""
-    pairs = jsonld_pairs(nodes, contents)
+    pairs = jsonld_pairs(nodes)
     none = F.expr("cast(array() as array<struct<key:string,value:string>>)")
     part = lambda key, c: F.when(F.col(c).isNotNull(), F.array(F.struct(F.lit(key).alias("key"), F.col(c).alias("value")))).otherwise(none)
     own = headers.select("doc_id", F.lit(-1).alias("node_id"), F.explode(F.concat(part("@type", "doc_type"), part("schema:name", "title"))).alias("t")).select("doc_id", "node_id", "t.*")
@@ -237,13 +237,12 @@ def render_html(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [HtmlWriter().document(markdown.parse_text(s or "")) for s in batch["source"]]})
 
-    return docs.select(F.col("doc_id").cast("string"), F.col("source").cast("string")).mapInPandas(run, "doc_id string, text string")
+    return markdown.spread(docs.select(F.col("doc_id").cast("string"), F.col("source").cast("string"))).mapInPandas(run, "doc_id string, text string")
 
 
 def _structured(render: Callable) -> Callable:
     def run(docs: DataFrame) -> DataFrame:
-        nodes = markdown.parse_documents(docs)
-        return render(markdown.parse_headers(docs), nodes, markdown.text_contents(nodes))
+        return render(markdown.parse_headers(docs), markdown.parse_documents(docs))
 
     return run
 

@@ -11,24 +11,28 @@ from quillgraph.operators.ontology import Registry
 def validate_nodes(nodes: DataFrame, registry: Registry | None = None) -> DataFrame:
     """(doc_id, node_id, pos, kind, message): four kinds of warnings, each from one scan of the annotations."""
     registry = registry or Registry()
-    each = nodes.select("doc_id", "node_id", F.posexplode("annotations").alias("pos", "a")).select("doc_id", "node_id", "pos", "a.*")
-    colon = F.contains("raw", F.lit(":"))
-    is_type, is_key = F.col("kind") == "type", F.col("kind") == "property"
+    # A directive without annotations is found beside the annotations of the others, so nodes are read once.
+    none = F.expr("array(cast(null as struct<kind:string,resolved_iri:string,raw:string>))")
+    told = F.transform("annotations", lambda a: F.struct(a["kind"].alias("kind"), a["resolved_iri"].alias("resolved_iri"), a["raw"].alias("raw")))
+    bare = F.col("kind").isin("InlineDirective", "DirectiveBlock") & (F.size("annotations") == 0)
+    rows = nodes.where(bare | (F.size("annotations") > 0))
+    each = rows.select("doc_id", "node_id", F.col("kind").alias("node"), "name", F.posexplode(F.when(bare, none).otherwise(told)).alias("pos", "a"))
+    raw, iri, kind = F.col("a.raw"), F.col("a.resolved_iri"), F.col("a.kind")
+    colon = F.contains(raw, F.lit(":"))
     code = (
-        F.when(is_type & F.col("resolved_iri").isNull() & colon, "type_curie")
-        .when(is_type & F.col("resolved_iri").isNotNull() & ~registry.knows_type(F.col("resolved_iri")), "unknown_type")
-        .when(is_key & F.col("resolved_iri").isNull() & colon, "property_curie")
+        F.when(F.col("a").isNull(), F.when(F.col("node") == "InlineDirective", "bare_inline").otherwise("bare_block"))
+        .when((kind == "type") & iri.isNull() & colon, "type_curie")
+        .when((kind == "type") & iri.isNotNull() & ~registry.knows_type(iri), "unknown_type")
+        .when((kind == "property") & iri.isNull() & colon, "property_curie")
     )
+    word = F.when(F.col("node") == "InlineDirective", "Inline").otherwise("Block")
     text = (
-        F.when(F.col("code") == "type_curie", F.concat(F.lit("Could not resolve type CURIE: "), "raw"))
-        .when(F.col("code") == "unknown_type", F.concat(F.lit("Type not found in registered ontologies: "), "raw"))
-        .when(F.col("code") == "property_curie", F.concat(F.lit("Could not resolve property CURIE: "), "raw"))
+        F.when(F.col("code") == "type_curie", F.concat(F.lit("Could not resolve type CURIE: "), raw))
+        .when(F.col("code") == "unknown_type", F.concat(F.lit("Type not found in registered ontologies: "), raw))
+        .when(F.col("code") == "property_curie", F.concat(F.lit("Could not resolve property CURIE: "), raw))
+        .otherwise(F.concat(word, F.lit(" directive '"), "name", F.lit("' has no semantic annotations")))
     )
-    named = each.withColumn("code", code).where("code is not null").select("doc_id", "node_id", "pos", F.col("code").alias("kind"), text.alias("message"))
-    bare = nodes.where(F.col("kind").isin("InlineDirective", "DirectiveBlock") & (F.size("annotations") == 0))
-    word = F.when(F.col("kind") == "InlineDirective", "Inline").otherwise("Block")
-    bare = bare.select("doc_id", "node_id", F.lit(0).alias("pos"), F.when(F.col("kind") == "InlineDirective", "bare_inline").otherwise("bare_block").alias("kind"), F.concat(word, F.lit(" directive '"), "name", F.lit("' has no semantic annotations")).alias("message"))
-    return named.unionByName(bare)
+    return each.withColumn("code", code).where("code is not null").select("doc_id", "node_id", "pos", F.col("code").alias("kind"), text.alias("message"))
 
 
 def issue_counts(docs: DataFrame, warnings: DataFrame) -> DataFrame:

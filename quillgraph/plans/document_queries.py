@@ -272,13 +272,13 @@ TRIPLES_SQL = f"""WITH {C}, s AS (SELECT *, CASE WHEN k % 3 = 0 THEN '<#c' || k
 @query("turtle_triples", TRIPLES_SQL + " SELECT doc_id, subject, predicate, object FROM t")
 def turtle_triples(spark, sf):
     n = parsed(spark, sf)
-    return render.turtle_triples(n, markdown.text_contents(n)).select("doc_id", "subject", "predicate", "object")
+    return render.turtle_triples(n).select("doc_id", "subject", "predicate", "object")
 
 
 @query("resolve_or_curie", TRIPLES_SQL + " SELECT doc_id, count(*) AS n FROM t WHERE predicate NOT LIKE '<%' AND predicate <> 'a' GROUP BY doc_id")
 def resolve_or_curie(spark, sf):
     n = parsed(spark, sf)
-    return render.turtle_triples(n, markdown.text_contents(n)).where("predicate not like '<%' and predicate <> 'a'").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return render.turtle_triples(n).where("predicate not like '<%' and predicate <> 'a'").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query("render_turtle", f"WITH {C} SELECT doc_id, CASE WHEN headed AND k % 4 <> 1 THEN 1 ELSE 0 END AS about_itself, CASE WHEN headed THEN 11 ELSE 10 END + CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS n_prefixes FROM c")
@@ -301,7 +301,7 @@ def render_jsonld(spark, sf):
 @query("jsonld_entities", f"WITH {C} SELECT doc_id, 'Account ' || k AS name, CASE WHEN k % 3 = 0 THEN '#c' || k END AS id, '{SCHEMA}Organization' AS type FROM c")
 def jsonld_entities(spark, sf):
     n = parsed(spark, sf)
-    pairs = render.jsonld_pairs(n.where("kind = 'Section'"), markdown.text_contents(n))
+    pairs = render.jsonld_pairs(n.where("kind = 'Section'"))
     of = lambda k, a: F.max(F.when(F.col("key") == k, F.col("value"))).alias(a)
     return pairs.groupBy("doc_id").agg(of("schema:name", "name"), of("@id", "id"), of("@type", "type"))
 
@@ -310,7 +310,7 @@ def jsonld_entities(spark, sf):
 def last_wins_map(spark, sf):
     d = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("doc_id"), F.lit(":e[x]{type=urn:t1 type=urn:t2 k=a k=b}").alias("source"))
     n = markdown.parse_documents(d)
-    pairs = render.jsonld_pairs(n, markdown.text_contents(n))
+    pairs = render.jsonld_pairs(n)
     of = lambda k, a: F.max(F.when(F.col("key") == k, F.col("value"))).alias(a)
     return pairs.groupBy("doc_id").agg(of("k", "v"), of("@type", "t")).select(F.col("doc_id").cast("int").alias("n_nationkey"), "v", "t")
 
@@ -359,7 +359,7 @@ ALL["render_trait"] = ALL["ext_renderer"] = ALL["render_dispatch"]
 def imported(spark, sf):
     h = markdown.parse_headers(docs(spark, sf)).select("doc_id", "prefixes").join(docs(spark, sf), "doc_id")
     n = parsed(spark, sf)
-    return sidecar.import_overlay(h, n, markdown.text_contents(n))
+    return sidecar.import_overlay(h, n)
 
 
 @query("overlay_import", f"""WITH {C} SELECT doc_id, entity_id, snippet FROM (SELECT doc_id, 'e1' AS entity_id, 'Account ' || k AS snippet FROM c UNION ALL SELECT doc_id, 'e2', c_name FROM c UNION ALL SELECT doc_id, 'e3', n_name FROM c WHERE k % 5 <> 0

@@ -1,9 +1,11 @@
 """Markdown with annotations, parsed to flat node rows in one Arrow stage.
 
 The parser covers the CommonMark blocks and inlines behind the node kinds below, with
-tables, strikethrough, footnote and task marks, and heading attributes. Trees come out as
-rows in pre-order: node_id, parent_id, depth, and `last_id`, the greatest id below a node,
-so a subtree is a range of ids and later stages never recurse.
+tables, strikethrough, footnotes and task marks, and heading attributes. A footnote's
+definition is a Paragraph that holds its blocks, and a reference to it is left out. Trees
+come out as rows in pre-order: node_id, parent_id, depth, and `last_id`, the greatest id
+below a node, so a subtree is a range of ids and later stages never recurse. Annotated
+nodes and headings carry the text below them, so no stage joins it to them.
 """
 
 from __future__ import annotations
@@ -23,11 +25,14 @@ from quillgraph.sources.attributes import ANNOTATIONS, BLOCK_DIRECTIVE, INLINE_D
 
 NODES = (
     "doc_id string, node_id int, parent_id int, last_id int, depth int, kind string, level int, attr_id string, name string, language string, "
-    f"content string, list_start long, text string, dest string, title string, annotations {ANNOTATIONS}"
+    f"content string, list_start long, text string, dest string, title string, annotations {ANNOTATIONS}, text_content string"
 )
 DIRECTIVES = "doc_id string, seq int, directive_id string, name string, content string, attrs_raw string, is_block boolean"
 HEADERS = "doc_id string, doc_type string, template string, title string, context string, prefixes map<string,string>, extra string, content string"
 
+#: Bytes a core is worth: inputs of fewer are dealt to all cores.
+SPLIT_BYTES = 64 << 20
+
 _INLINE, _BLOCK, _PREFIX = re.compile(INLINE_DIRECTIVE), re.compile(BLOCK_DIRECTIVE), re.compile(LINK_PREFIX)
 _FRONT = re.compile(r"\A---[ \t]*\r?\n(.*?)^---[ \t]*(?:\r?\n|\Z)", re.S | re.M)
 
@@ -112,6 +117,20 @@ def extract_directives(content: str) -> tuple[list, list[tuple[str, str]], list[
     return out, prefixes, found
 
 
+def link_prefixes(content: str) -> list[tuple[str, str]]:
+    """The prefixes of `extract_directives` alone."""
+    out: list[tuple[str, str]] = []
+    it = iter(r.removesuffix("\r") for r in content.split("\n"))
+    for line in it:
+        if m := _PREFIX.match(line):
+            out.append((m[1], m[2]))
+        elif _BLOCK.match(line):
+            for inner in it:
+                if inner.strip() == ":::":
+                    break
+    return out
+
+
 # Blocks -----------------------------------------------------------------------------------------
 
 _ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
@@ -121,6 +140,7 @@ _ITEM = re.compile(r"( {0,3})([-+*]|\d{1,9}[.)])(?:([ \t]+)|$)")
 _QUOTE = re.compile(r" {0,3}> ?")
 _DELIMITER_ROW = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
 _LINK_DEF = re.compile(r" {0,3}\[([^\]\n]+)\]:[ \t]*(?:<([^>\n]*)>|(\S+))(?:[ \t]+(?:\"([^\"]*)\"|'([^']*)'|\(([^)]*)\)))?[ \t]*$")
+_FOOTNOTE = re.compile(r" {0,3}\[\^([^\]\s\[]+)\]:[ \t]*(.*)$")
 _HTML_BLOCK = re.compile(r" {0,3}<(?:!--|\?|![A-Za-z]|/?(?:address|article|aside|blockquote|body|details|dialog|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|link|main|menu|nav|ol|p|section|summary|table|tbody|td|tfoot|th|thead|title|tr|ul|script|pre|style|textarea)(?=[\s/>]|$))", re.I)
 _HEADING_ATTRS = re.compile(r"[ \t]*\{([^{}]*)\}[ \t]*$")
 
@@ -131,10 +151,13 @@ class Parser:
     def __init__(self, directives: list[Directive], prefixes: dict[str, str]):
         self.directives, self.prefixes = directives, prefixes
         self.references: dict[str, tuple[str, str]] = {}
+        self.footnotes: set[str] = set()
 
     def blocks(self, rows: list) -> list[Node]:
         for line in rows:
-            if isinstance(line, str) and (m := _LINK_DEF.match(line)):
+            if isinstance(line, str) and (m := _FOOTNOTE.match(line)):
+                self.footnotes.add(m[1].lower())
+            elif isinstance(line, str) and (m := _LINK_DEF.match(line)):
                 self.references.setdefault(" ".join(m[1].lower().split()), (m[2] if m[2] is not None else m[3], m[4] or m[5] or m[6] or ""))
         return self._blocks(rows)
 
@@ -152,6 +175,8 @@ class Parser:
                 at += 1
             elif not line.strip():
                 at += 1
+            elif m := _FOOTNOTE.match(line):
+                at = self._footnote(rows, at, m, out)
             elif (m := _LINK_DEF.match(line)) and self.references.get(" ".join(m[1].lower().split())) is not None:
                 at += 1
             elif m := _FENCE.match(line):
@@ -236,6 +261,27 @@ class Parser:
         out.append(Node("BlockQuote", self._blocks(body)))
         return at
 
+    def _footnote(self, rows: list, at: int, m: re.Match, out: list[Node]) -> int:
+        """A definition goes on in a paragraph's further lines, and in what is indented by four."""
+        body = [m[2]]
+        at += 1
+        while at < len(rows) and isinstance(rows[at], str):
+            line = rows[at]
+            if not line.strip():
+                after = next((r for r in rows[at:] if not isinstance(r, str) or r.strip()), None)
+                if not (isinstance(after, str) and after.startswith(("    ", "\t"))):
+                    break
+                body.append("")
+            elif line.startswith(("    ", "\t")):
+                body.append(line[1:] if line.startswith("\t") else line[4:])
+            elif body[-1].strip() and not starts_block(line) and not _FOOTNOTE.match(line) and not _ITEM.match(line):
+                body.append(line)
+            else:
+                break
+            at += 1
+        out.append(Node("Paragraph", self._blocks(body)))
+        return at
+
     def _list(self, rows: list, at: int, out: list[Node]) -> int:
         first = _ITEM.match(rows[at])
         mark = first[2][-1]
@@ -303,7 +349,7 @@ class Parser:
             if m := re.match(r" {0,3}(=+|-+)[ \t]*$", rows[at]):
                 out.append(self._heading(1 if m[1][0] == "=" else 2, "\n".join(body)))
                 return at + 1
-            if starts_block(rows[at]) or ((m := _ITEM.match(rows[at])) and m[3] and m[2] in ("-", "+", "*", "1.", "1)")):
+            if starts_block(rows[at]) or _FOOTNOTE.match(rows[at]) or ((m := _ITEM.match(rows[at])) and m[3] and m[2] in ("-", "+", "*", "1.", "1)")):
                 break
             body.append(rows[at].lstrip())
             at += 1
@@ -321,7 +367,7 @@ class Parser:
         r"|<(?P<auto>[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[\w.+-]+@[\w-]+(?:\.[\w-]+)+)>"
         r"|(?P<tag></?[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*\s*/?>|<!--.*?-->|<\?.*?\?>|<![A-Z]+\s[^>]*>)"
         r"|(?P<entity>&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});)"
-        r"|(?P<open>!?\[)|(?P<close>\])|(?P<run>\*+|_+|~+)|\ue000(?P<span>\d+)\ue001|(?P<span_end>\ue002)",
+        r"|(?P<note>\[\^[^\]\s\[]+\])|(?P<open>!?\[)|(?P<close>\])|(?P<run>\*+|_+|~+)|\ue000(?P<span>\d+)\ue001|(?P<span_end>\ue002)",
         re.S,
     )
 
@@ -363,6 +409,12 @@ class Parser:
             elif kind == "tag":
                 flush()
                 items.append(Node("Html", values={"content": plain(m["tag"])}))
+            elif kind == "note":
+                flush()
+                if m["note"][2:-1].lower() not in self.footnotes:
+                    # No footnote: a bracket like any other.
+                    at = m.start() + 1
+                    items.append(["[", "["])
             elif kind == "open":
                 flush()
                 items.append(["[", m["open"]])
@@ -522,13 +574,21 @@ def node_rows(doc_id: str, nodes: list[Node]) -> list[tuple]:
         v = node.values
         mine = len(out)
         text = v.get("text")
-        out.append([doc_id, mine, parent, mine, depth, node.kind, v.get("level"), v.get("attr_id"), v.get("name"), v.get("language"), v.get("content"), v.get("list_start"), text, v.get("dest"), v.get("title"), node.annotations])
+        out.append([doc_id, mine, parent, mine, depth, node.kind, v.get("level"), v.get("attr_id"), v.get("name"), v.get("language"), v.get("content"), v.get("list_start"), text, v.get("dest"), v.get("title"), node.annotations, text_content(node) if node.annotations or node.kind == "Section" else None])
         todo.append((node, mine, depth, True))
         todo += [(c, mine, depth + 1, False) for c in reversed(node.children)]
     return [tuple(r) for r in out]
 
 
-_COLUMNS = [c.strip().split()[0] for c in NODES.split(f", annotations {ANNOTATIONS}")[0].split(",")] + ["annotations"]
+_COLUMNS = [c.strip().split()[0] for c in NODES.split(f", annotations {ANNOTATIONS}")[0].split(",")] + ["annotations", "text_content"]
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """A small input, which may be one split, dealt to all cores by row; a large one has splits enough and stays as it is."""
+    spark = docs.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return docs.repartition(cores) if size <= cores * SPLIT_BYTES else docs
 
 
 def parse_documents(docs: DataFrame) -> DataFrame:
@@ -542,7 +602,7 @@ def parse_documents(docs: DataFrame) -> DataFrame:
                 frame[c] = frame[c].astype("Int64")
             yield frame
 
-    return docs.select(F.col("doc_id").cast("string"), F.col("source").cast("string")).mapInPandas(run, NODES)
+    return spread(docs.select(F.col("doc_id").cast("string"), F.col("source").cast("string"))).mapInPandas(run, NODES)
 
 
 def parse_headers(docs: DataFrame) -> DataFrame:
@@ -553,7 +613,7 @@ def parse_headers(docs: DataFrame) -> DataFrame:
             rows = []
             for d, s in zip(batch["doc_id"], batch["source"]):
                 header, content = split_header(s or "")
-                _, linked, _ = extract_directives(content)
+                linked = link_prefixes(content)
                 js = lambda v: None if v is None else json.dumps(json_value(v), sort_keys=True, ensure_ascii=False)
                 rows.append((d, header.get("doc_type"), header.get("template"), header.get("title"), js(header.get("context")), BUILTIN_PREFIXES | header.get("prefixes", {}) | dict(linked), js(header.get("extra", {})), content))
             yield pd.DataFrame(rows, columns=["doc_id", "doc_type", "template", "title", "context", "prefixes", "extra", "content"])
@@ -573,10 +633,5 @@ def extract_all_directives(docs: DataFrame) -> DataFrame:
 
 
 def text_contents(nodes: DataFrame) -> DataFrame:
-    """(doc_id, node_id, text_content) of annotated nodes and headings: texts in the range of ids below a node, in order."""
-    above = nodes.where((F.size("annotations") > 0) | (F.col("kind") == "Section")).select("doc_id", "node_id", "last_id")
-    texts = nodes.where(F.col("kind") == "Text").select("doc_id", F.col("node_id").alias("t"), F.col("text"))
-    joined = above.join(texts, "doc_id", "left").where(F.col("t").isNull() | ((F.col("t") >= F.col("node_id")) & (F.col("t") <= F.col("last_id"))))
-    found = joined.groupBy("doc_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("t", "text"))).alias("parts"))
-    found = found.select("doc_id", "node_id", F.array_join(F.transform("parts", lambda p: F.coalesce(p["text"], F.lit(""))), "").alias("text_content"))
-    return above.select("doc_id", "node_id").join(found, ["doc_id", "node_id"], "left").select("doc_id", "node_id", F.coalesce("text_content", F.lit("")).alias("text_content"))
+    """(doc_id, node_id, text_content) of annotated nodes and headings."""
+    return nodes.where((F.size("annotations") > 0) | (F.col("kind") == "Section")).select("doc_id", "node_id", "text_content")

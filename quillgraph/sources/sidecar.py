@@ -126,7 +126,7 @@ class SidecarParser:
         start, end = (int(anchor[1]), int(anchor[2]) if anchor[2] else None) if anchor else (None, None)
         if end is not None and end < start:
             self.fail(f"end ({end}) < start ({start})")
-        types, snippet = [], ""
+        types, snippet, told = [], "", []
         while not self.word("."):
             if self.at >= len(self.text):
                 self.fail("expected '.'")
@@ -144,14 +144,16 @@ class SidecarParser:
                 if predicate in (VOCABULARY + "snippet", self.prefixes["sd"] + "snippet") and anchor and kind == "literal":
                     snippet = value
                 else:
-                    out["triples"].append((len(out["triples"]), subject, predicate, kind, value))
+                    told.append((subject, predicate, kind, value))
             if not self.word(";"):
                 self.need(".")
                 break
         if anchor:
             out["entities"].append((len(out["entities"]), subject, start, end, snippet, types, 0))
         else:
-            out["triples"] += [(len(out["triples"]) + i, subject, RDF_TYPE, "iri", t) for i, t in enumerate(types)]
+            # The types of a block without an anchor are triples too, before its others.
+            told = [(subject, RDF_TYPE, "iri", t) for t in types] + told
+        out["triples"] += [(len(out["triples"]) + i, *t) for i, t in enumerate(told)]
 
 
 _ENTITY = ["ord", "entity_id", "span_start", "span_end", "snippet", "types", "status"]
@@ -283,7 +285,7 @@ def status_lines(entities: DataFrame) -> DataFrame:
     return entities.select("doc_id", "ord", F.concat(F.lit("  "), tag, F.lit(" _:"), "entity_id", F.lit(" ("), F.array_join("types", ", "), F.lit(")")).alias("line"))
 
 
-def import_overlay(docs: DataFrame, nodes: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def import_overlay(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(overlays, entities, triples) of annotated nodes: e1, e2 ... in document order; resolved types and properties only.
 
     Nodes have no place in the source, so anchors are [0..0]; the snippet is the first 40 bytes of a node's text, cut before a character that they would split.
@@ -293,7 +295,7 @@ def import_overlay(docs: DataFrame, nodes: DataFrame, contents: DataFrame) -> tu
     from quillgraph.functions.text import utf8, whole_chars
 
     numbered = nodes.where(F.size("annotations") > 0).withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("node_id")))
-    named = numbered.join(contents, ["doc_id", "node_id"]).select("doc_id", (F.col("n") - 1).alias("ord"), F.concat(F.lit("e"), F.col("n").cast("string")).alias("entity_id"), "text_content", "annotations")
+    named = numbered.select("doc_id", (F.col("n") - 1).alias("ord"), F.concat(F.lit("e"), F.col("n").cast("string")).alias("entity_id"), "text_content", "annotations")
     types = F.transform(F.filter("annotations", lambda a: (a["kind"] == "type") & a["resolved_iri"].isNotNull()), lambda a: a["resolved_iri"])
     zero = F.lit(0).cast("long")
     entities = named.select("doc_id", "ord", "entity_id", zero.alias("span_start"), zero.alias("span_end"), whole_chars(utf8(F.col("text_content")), 40).alias("snippet"), types.alias("types"), F.lit(0).cast("tinyint").alias("status"))
