@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import block_id, note_text, trim_text
+from quillgraph.plans.work import work_dir
 
 NOTE_FLAVOUR = "quill:agent-note"
 # Flavours that are analysed, and agents' ids, names, kinds and confidence.
@@ -24,6 +25,7 @@ SUMMARY_CONFIDENCE, QUESTION_CONFIDENCE, THRESHOLD = 1.0, 0.8, 0.6
 
 ENTITIES = "doc_id string, block_id string, text_span string, entity_type string, confidence double, reasoning string"
 SUMMARIES = "doc_id string, text string, topics array<string>"
+NOTES = "doc_id string, after_block_id string, content string, confidence double, agent_id string, agent_name string, note_type string, accepted boolean"
 QUESTIONS = "doc_id string, text string, source_block_id string, question_type string"
 
 
@@ -81,16 +83,22 @@ def question_agent(texts: DataFrame) -> DataFrame:
 def run_agents(blocks: DataFrame, agents: dict[str, Callable[[DataFrame], DataFrame]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Notes (doc_id, note_id, after_block_id, agent_id, agent_name, note_type, content, confidence, accepted).
 
-    Entities below the threshold leave no note. An agent that fails as it is set
-    up is left out and the others still write. Ids depend on a note's content, so
+    Entities below the threshold leave no note. What an agent finds is written as it
+    is run, so one that fails, as it is set up or on any row, is left out and the
+    others still write; without any there are no notes. Ids depend on a note's content, so
     running again makes the same notes.
     """
     agents = agents or {"entity": entity_agent, "summary": summary_agent, "question": question_agent}
-    texts = text_for_analysis(blocks).where(trim_text(F.col("text")) != "")
-    notes = []
+    spark = blocks.sparkSession
+    texts = work_dir(spark, "agent-texts")
+    text_for_analysis(blocks).where(trim_text(F.col("text")) != "").write.parquet(texts)
+    texts = spark.read.schema("doc_id string, text string").parquet(texts)
+    notes = [spark.createDataFrame([], NOTES)]
     for kind, agent in agents.items():
         try:
-            found = agent(texts)
+            found, path = agent(texts), work_dir(spark, f"agent-{kind}")
+            found.write.parquet(path)
+            found = spark.read.schema(found.schema).parquet(path)
         except Exception:  # noqa: BLE001, S112  whatever a plug-in raises
             continue
         if kind == "entity":

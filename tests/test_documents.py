@@ -138,3 +138,63 @@ def test_workspace(spark, tmp_path):
         (tmp_path / name).write_text("x")
     rows = files.scan_workspace(spark, str(tmp_path)).collect()
     assert [(r["name"], r["has_sidecar"]) for r in rows] == [("x.md", True), ("y.md", False)]
+
+
+def nodes_of(source):
+    from quillgraph.sources import markdown
+
+    return markdown.node_rows("d", markdown.parse_text(source).nodes)
+
+
+def test_footnotes():
+    """A definition is a Paragraph that holds its blocks, a reference is left out, and an unknown one is text."""
+    rows = nodes_of("One[^1] and [^no] two.\n\n[^1]: note *here*\n    goes on\n\n    second block\n[^b]: other\n\nLast[^B].\n")
+    kinds = [(r[5], r[4]) for r in rows]
+    assert [k for k, depth in kinds if depth == 0] == ["Paragraph"] * 4
+    assert "Link" not in {k for k, _ in kinds}
+    texts = [r[12] for r in rows if r[5] == "Text"]
+    assert "".join(texts) == "One and [^no] two.note heregoes onsecond blockotherLast."
+    note = next(r for r in rows if r[4] == 0 and r[1] > 0)
+    assert [r[5] for r in rows if r[2] == note[1]] == ["Paragraph", "Paragraph"]
+
+
+def test_one_parse_of_nodes(spark):
+    """Renderers and validation parse nodes once; annotated nodes carry their text."""
+    from quillgraph.operators import render, validate
+    from quillgraph.sources import markdown
+
+    docs = spark.createDataFrame([(str(i), f"# T {i} {{.schema:Person}}\n\nx :a[b *c*]{{k=v}} :d[e]\n") for i in range(40)], "doc_id string, source string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    nodes = markdown.parse_documents(docs)
+    assert plan(validate.validate_nodes(nodes)).count("MapInPandas") == 1
+    assert plan(render.turtle_triples(nodes)).count("MapInPandas") == 1 and plan(render.jsonld_pairs(nodes)).count("MapInPandas") == 1
+    assert nodes.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    found = {(r["kind"], r["text_content"]) for r in nodes.where("text_content is not null and doc_id = '7'").collect()}
+    assert found == {("Section", "T 7"), ("InlineDirective", "b c")}
+
+
+def test_agents_that_fail_on_rows_are_left_out(spark):
+    from quillgraph.operators import blocks
+
+    rows = [("d", "page", 0, "affine:note", None, ["b0"]), ("d", "b0", 1, "affine:paragraph", "Somewhere Overthere is it?", [])]
+    df = spark.createDataFrame(rows, "doc_id string, block_id string, ord long, flavour string, text string, children array<string>")
+
+    def broken(texts):
+        def run(batches):
+            for _ in batches:
+                raise RuntimeError("no answer")
+            yield from ()
+
+        return texts.mapInPandas(run, blocks.QUESTIONS)
+
+    agents = {"entity": blocks.entity_agent, "summary": blocks.summary_agent, "question": broken}
+    assert {r["note_type"] for r in blocks.run_agents(df, agents).collect()} == {"entity", "summary"}
+    assert blocks.run_agents(df, {"question": broken}).count() == 0
+
+
+def test_types_of_a_relationship_block_come_first(spark):
+    from quillgraph.sources import sidecar
+
+    text = '@source-hash "sha256:00" .\n@prefix x: <urn:x:> .\n_:p x:n "v" ; a x:T .\n'
+    triples = sidecar.triples_of(sidecar.parse_sidecars(spark.createDataFrame([("d", text)], "doc_id string, text string"))).orderBy("ord").collect()
+    assert [(r["object_kind"], r["object_value"]) for r in triples] == [("iri", "urn:x:T"), ("literal", "v")]
