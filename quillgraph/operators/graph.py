@@ -83,9 +83,23 @@ def first_type(types: Column) -> Column:
 
 
 def gutter(entities: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, colors): colours of entities that overlap a line (line_start, line_end), each once, by first entity."""
-    hit = interval_join(lines, entities, "doc_id", ("line_start", "line_end"), ("span_start", "span_end")).withColumn("color", color_of(first_type(F.col("types"))))
-    first = hit.groupBy("doc_id", "line_no", "color").agg(F.min("ord").alias("ord"))
+    """(doc_id, line_no, colors): colours of entities that overlap a line (line_start, line_end), each once, by first entity.
+
+    An open span reaches every line behind its start, so open ones aren't paired
+    with lines: a running minimum over starts and line ends has the first entity of
+    each colour so far.
+    """
+    colored = entities.select("doc_id", "ord", "span_start", "span_end", color_of(first_type(F.col("types"))).alias("color"))
+    hit = interval_join(lines, colored.where("span_end is not null"), "doc_id", ("line_start", "line_end"), ("span_start", "span_end"))
+    closed = hit.groupBy("doc_id", "line_no", "color").agg(F.min("ord").alias("ord"))
+    starts = colored.where("span_end is null").select("doc_id", F.col("span_start").alias("pos"), F.lit(None).cast("long").alias("line_no"), "color", "ord")
+    ends = lines.select("doc_id", F.col("line_end").alias("pos"), "line_no", F.lit(None).cast("string").alias("color"), F.lit(None).cast("long").alias("ord"))
+    # A line ends before a span that starts there.
+    so_far = Window.partitionBy("doc_id").orderBy("pos", F.col("line_no").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = [F.struct(F.lit(c).alias("color"), F.min(F.when(F.col("color") == c, F.col("ord"))).over(so_far).alias("ord")) for c in dict.fromkeys([DEFAULT_COLOR, *TYPE_COLORS.values()])]
+    open_ = starts.unionByName(ends).select("doc_id", "line_no", F.array(*seen).alias("seen")).where("line_no is not null")
+    open_ = open_.select("doc_id", "line_no", F.explode("seen").alias("s")).select("doc_id", "line_no", "s.color", "s.ord").where("ord is not null")
+    first = closed.unionByName(open_).groupBy("doc_id", "line_no", "color").agg(F.min("ord").alias("ord"))
     return first.groupBy("doc_id", "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "color"))), lambda p: p["color"]), ",").alias("colors"))
 
 

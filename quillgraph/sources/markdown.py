@@ -64,7 +64,7 @@ def split_header(source: str) -> tuple[dict, str]:
     import yaml
 
     try:
-        found = yaml.safe_load(m[1])
+        found = yaml.load(m[1], Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
     except yaml.YAMLError:
         found = None
     if not isinstance(found, dict):
@@ -618,7 +618,7 @@ def parse_headers(docs: DataFrame) -> DataFrame:
                 rows.append((d, header.get("doc_type"), header.get("template"), header.get("title"), js(header.get("context")), BUILTIN_PREFIXES | header.get("prefixes", {}) | dict(linked), js(header.get("extra", {})), content))
             yield pd.DataFrame(rows, columns=["doc_id", "doc_type", "template", "title", "context", "prefixes", "extra", "content"])
 
-    return docs.select(F.col("doc_id").cast("string"), F.col("source").cast("string")).mapInPandas(run, HEADERS)
+    return spread(docs.select(F.col("doc_id").cast("string"), F.col("source").cast("string"))).mapInPandas(run, HEADERS)
 
 
 def extract_all_directives(docs: DataFrame) -> DataFrame:
@@ -629,7 +629,7 @@ def extract_all_directives(docs: DataFrame) -> DataFrame:
             rows = [(d, k, f"SD{k + 1:04d}", x.name, x.content, x.attrs, x.is_block) for d, c in zip(batch["doc_id"], batch["content"]) for k, x in enumerate(extract_directives(c or "")[2])]
             yield pd.DataFrame(rows, columns=["doc_id", "seq", "directive_id", "name", "content", "attrs_raw", "is_block"])
 
-    return docs.select(F.col("doc_id").cast("string"), F.col("content").cast("string")).mapInPandas(run, DIRECTIVES)
+    return spread(docs.select(F.col("doc_id").cast("string"), F.col("content").cast("string"))).mapInPandas(run, DIRECTIVES)
 
 
 def text_contents(nodes: DataFrame) -> DataFrame:
