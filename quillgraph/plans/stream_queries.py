@@ -52,10 +52,12 @@ def stream_debounce_editor(spark, sf):
     return out.select("user_id", "n_updates", (F.unix_micros("end") - 600000000).alias("last_us"))
 
 
-@query("stream_debounce_callback")
+@query("stream_debounce_callback", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
+ w AS (SELECT user_id, event_id, i, ms, ms AS began FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.i, e.ms, CASE WHEN e.ms >= least(w.ms + 600000, w.began + 3600000) THEN e.ms ELSE w.began END FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1),
+ f AS (SELECT user_id, began, max(i) AS i, arg_max(event_id, i) AS event_id, least(max(ms) + 600000, began + 3600000) AS fired_ms FROM w GROUP BY user_id, began)
+ SELECT user_id, fired_ms, event_id FROM f WHERE fired_ms < (SELECT max(epoch_us(ts) // 1000) FROM events) OR EXISTS (FROM e WHERE e.user_id = f.user_id AND e.i = f.i + 1)""")
 def stream_debounce_callback(spark, sf):
-    timed = event_stream(spark, sf).withColumn("ms", F.unix_millis("ts"))
-    return sessions.replay(sessions.debounce_most(timed, "user_id", "event_id", "ms", 600_000, 3_600_000), "callbacks")
+    return sessions.replay(sessions.debounce_most(event_stream(spark, sf), "user_id", "event_id", "ts", 600_000, 3_600_000), "callbacks")
 
 
 UPDATES_SQL = "u AS (SELECT c_custkey::VARCHAR AS doc_id, c_custkey AS k, c_name, strlen(c_name) AS n FROM customer)"

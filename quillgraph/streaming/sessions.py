@@ -65,26 +65,34 @@ def fire_times(times: list[int], pause: int, most: int) -> list[tuple[int, int]]
     return out
 
 
-def debounce_most(updates: DataFrame, key: str, value: str, time_ms: str, pause: int = CALLBACK_PAUSE, most: int = CALLBACK_MOST) -> DataFrame:
+def debounce_most(updates: DataFrame, key: str, value: str, time: str = "ts", pause: int = CALLBACK_PAUSE, most: int = CALLBACK_MOST, late: str = "0 seconds") -> DataFrame:
     """Callbacks (key, fired_ms, value) with a longest wait, in the updates' own time.
 
-    The wait that is open when a batch ends is kept as state; the next update of its
-    key shows whether it had fired before.
+    The wait that is open when a batch ends is kept as state, with a timer at the time
+    it fires: the next update of its key or the watermark, whichever comes first, shows
+    that it has fired. Updates later than `late` behind the newest are dropped, as in
+    `debounce`; of updates of one millisecond the largest value counts.
     """
     kind = updates.schema[value].dataType.simpleString()
     schema = f"{key} {updates.schema[key].dataType.simpleString()}, fired_ms long, {value} {kind}"
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(batches).sort_values([time_ms, value], kind="stable")
+        rows = pd.concat(batches).sort_values(["__ms", value], kind="stable")
         held = list(zip(*state.get)) if state.exists else []
-        all_rows = sorted(held + list(zip(rows[time_ms].tolist(), rows[value].tolist())), key=lambda r: r[0])
+        all_rows = sorted(held + list(zip(rows["__ms"].tolist(), rows[value].tolist())), key=lambda r: r[0])
         fired = fire_times([t for t, _ in all_rows], pause, most)
-        done = fired[:-1]
+        done = fired if state.hasTimedOut else fired[:-1]
         rest = all_rows[(done[-1][0] + 1 if done else 0) :]
-        state.update(([t for t, _ in rest], [v for _, v in rest]))
+        if rest:
+            state.update(([t for t, _ in rest], [v for _, v in rest]))
+            # Rows at the watermark or after it have a wait that ends after it.
+            state.setTimeoutTimestamp(fired[-1][1])
+        else:
+            state.remove()
         yield pd.DataFrame({key: [k[0]] * len(done), "fired_ms": [t for _, t in done], value: [all_rows[i][1] for i, _ in done]})
 
-    return updates.select(key, time_ms, value).groupBy(key).applyInPandasWithState(run, schema, f"times array<long>, held array<{kind}>", "append", GroupStateTimeout.NoTimeout)
+    timed = updates.withWatermark(time, late).select(key, time, F.unix_millis(time).alias("__ms"), value)
+    return timed.groupBy(key).applyInPandasWithState(run, schema, f"times array<long>, held array<{kind}>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def replay(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
