@@ -1,17 +1,20 @@
 """Streams of document updates: debounce, change detection, and document sessions.
 
-Sessions keep their state as versioned tables that a micro-batch replaces as a whole, so a
-batch that runs again after a failure starts from the state before it and writes the same.
+Sessions keep their state in buckets of documents. A micro-batch writes new versions of the
+buckets that it touches and a list of the version of each bucket, so it costs what its buckets
+hold, and one that runs again after a failure starts from the state before it and writes the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from quillgraph.operators import graph, sync
 from quillgraph.plans.work import work_dir
@@ -109,26 +112,67 @@ class SessionStore:
 
     Updates are rows (doc_id, seq, kind, source, sidecar) of kinds open, update and
     close; of several updates of a document in one batch the last counts, as after a
-    pause. Opening an open document changes nothing.
+    pause. Opening an open document changes nothing. An update without a source is a
+    `parse-error` and keeps the old state; rows without a doc_id are left out.
+
+    State is dealt to `buckets` by a hash of doc_id; a batch reads and writes those of
+    its own documents. Choose the number so that one bucket fits a few tasks; it is also
+    the bound of what the driver lists.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or work_dir(spark, "sessions")
-        self.version = 0
-        empty = spark.createDataFrame([], "doc_id string, source string")
-        entities = sidecar.entities_of(spark.createDataFrame([], sidecar.GRAPH))
-        self._save(0, empty, entities, sidecar.triples_of(spark.createDataFrame([], sidecar.GRAPH)))
+    TABLES = ("docs", "entities", "triples")
 
-    def _save(self, version: int, docs: DataFrame, entities: DataFrame, triples: DataFrame) -> None:
-        for name, df in (("docs", docs), ("entities", entities), ("triples", triples)):
-            df.write.mode("overwrite").parquet(f"{self.path}/{name}/v{version}")
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16):
+        self.spark, self.path, self.buckets = spark, path or work_dir(spark, "sessions"), buckets
+        self.version = 0
+        none = spark.createDataFrame([], sidecar.GRAPH)
+        empty = (spark.createDataFrame([], "doc_id string, source string"), sidecar.entities_of(none), sidecar.triples_of(none))
+        self.schemas = {name: df.schema for name, df in zip(self.TABLES, empty)}
+        self._save(0, dict.fromkeys(range(buckets), 0), *empty)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int")
+
+    def _save(self, version: int, held: dict[int, int], *tables: DataFrame) -> None:
+        """Write tables as `version`, then which version holds each bucket: without that list a version doesn't count."""
+        for name, df in zip(self.TABLES, tables):
+            df.withColumn("bucket", self._bucket()).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/v={version}")
+        self.spark.createDataFrame(sorted(held.items()), "bucket int, v long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/held/v{version}")
+
+    def _held(self, version: int) -> dict[int, int]:
+        return {r["bucket"]: r["v"] for r in self.spark.read.parquet(f"{self.path}/held/v{version}").collect()}
+
+    def _read(self, name: str, held: dict[int, int]) -> DataFrame:
+        """Buckets of a table, each from its version: one scan, pruned by partition."""
+        schema, base = self.schemas[name], f"{self.path}/{name}"
+        if not held:
+            return self.spark.createDataFrame([], schema)
+        of = {v: sorted(b for b in held if held[b] == v) for v in sorted(set(held.values()))}
+        rows = self.spark.read.schema(StructType([*schema.fields, StructField("v", LongType()), StructField("bucket", IntegerType())])).option("basePath", base).parquet(*(f"{base}/v={v}" for v in of))
+        wanted = reduce(Column.__or__, ((F.col("v") == v) & F.col("bucket").isin(buckets) for v, buckets in of.items()))
+        return rows.where(wanted).select(*schema.fieldNames())
+
+    def _forget(self, old: dict[int, int], held: dict[int, int]) -> None:
+        """Delete buckets of versions that neither the state before a batch nor the one after it holds."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        conf = self.spark._jsc.hadoopConfiguration()
+        for name in self.TABLES:
+            for b in (b for b in old if old[b] != held[b]):
+                at = path(f"{self.path}/{name}/v={old[b]}/bucket={b}")
+                at.getFileSystem(conf).delete(at, True)
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}/v{self.version if version is None else version}")
+        """A table of the state; of older versions only the one before the last batch is kept."""
+        return self._read(name, self._held(self.version if version is None else version))
 
     def process(self, batch: DataFrame, epoch: int) -> None:
         """State v(epoch) and this batch give state v(epoch + 1) and events; running an epoch again gives the same."""
-        docs, entities, triples = (self.table(n, epoch) for n in ("docs", "entities", "triples"))
+        batch = batch.where("doc_id is not null")
+        held = self._held(epoch)
+        touched = {r[0] for r in batch.select(self._bucket()).distinct().collect()}
+        docs, entities, triples = (self._read(n, {b: held[b] for b in touched}) for n in self.TABLES)
+        unread = batch.where("kind = 'update' and source is null").join(docs.select("doc_id"), "doc_id", "left_semi")
+        batch = batch.where("not (kind = 'update' and source is null)")
         last = batch.groupBy("doc_id").agg(F.max_by(F.struct("seq", "kind", "source", "sidecar"), "seq").alias("u")).select("doc_id", "u.*")
         opened = batch.where("kind = 'open'").join(docs, "doc_id", "left_anti").groupBy("doc_id").agg(F.min_by(F.struct("seq", "source", "sidecar"), "seq").alias("u")).select("doc_id", "u.*")
         graphs = sidecar.parse_sidecars(opened.where("sidecar is not null").select("doc_id", F.col("sidecar").alias("text"))).persist()
@@ -136,6 +180,7 @@ class SessionStore:
         events = [
             opened.select("doc_id", "seq", F.lit("document-opened").alias("event"), F.lit("").alias("entity_id"), F.length("source").cast("string").alias("detail")),
             graphs.where("error is not null").join(at, "doc_id").select("doc_id", "seq", F.lit("sidecar-error").alias("event"), F.lit("").alias("entity_id"), F.col("error").alias("detail")),
+            unread.select("doc_id", "seq", F.lit("parse-error").alias("event"), F.lit("").alias("entity_id"), F.lit("no source").alias("detail")),
         ]
         entities = entities.unionByName(sidecar.entities_of(graphs))
         triples = triples.unionByName(sidecar.triples_of(graphs))
@@ -146,8 +191,9 @@ class SessionStore:
         docs = docs.join(changed, "doc_id", "left_anti").unionByName(changed.select("doc_id", F.col("new_source").alias("source")))
         closed = last.where("kind = 'close'").select("doc_id")
         docs, entities, triples = (d.join(closed, "doc_id", "left_anti") for d in (docs, entities, triples))
-        self._save(epoch + 1, docs, entities, triples)
-        docs, entities, triples = (self.table(n, epoch + 1) for n in ("docs", "entities", "triples"))
+        after = held | dict.fromkeys(touched, epoch + 1)
+        self._save(epoch + 1, after, docs, entities, triples)
+        docs, entities, triples = (self._read(n, dict.fromkeys(touched, epoch + 1)) for n in self.TABLES)
         seqs = last.select("doc_id", "seq").join(docs.select("doc_id"), "doc_id")
         status = graph.status_counts(seqs, entities, triples)
         events += [
@@ -160,6 +206,8 @@ class SessionStore:
             out = out.unionByName(more)
         out.write.mode("overwrite").parquet(f"{self.path}/events/epoch={epoch}")
         graphs.unpersist()
+        if epoch:
+            self._forget(self._held(epoch - 1), held)
         self.version = epoch + 1
 
     def events(self) -> DataFrame:

@@ -8,7 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillgraph.operators import blocks, graph, spans, sync
-from quillgraph.streaming.sessions import fire_times
+from quillgraph.plans.work import work_dir
+from quillgraph.streaming.sessions import SessionStore, debounce_most, fire_times, replay
 
 
 def test_interval_join_is_the_nested_loop(spark):
@@ -144,3 +145,29 @@ def test_failing_agent_leaves_the_others(spark):
     assert sorted(map(str, cleared.collect())) == sorted(map(str, b.select(cleared.columns).collect()))
     assert blocks.clear_notes(cleared).count() == 2
     assert pytest.approx(1.0) == notes.first()["confidence"]
+
+
+def test_sessions_rewrite_only_the_buckets_of_a_batch(spark):
+    def batch(*rows):
+        return spark.createDataFrame(rows, "doc_id string, seq long, kind string, source string, sidecar string")
+
+    store = SessionStore(spark, buckets=8)
+    store.process(batch(*((d, 1, "open", f"text {d}", None) for d in ("a", "b", "c", None))), 0)
+    before = store._held(1)
+    for _ in range(2):  # a batch that runs again gives the same
+        store.process(batch(("a", 2, "update", None, None), ("a", 3, "update", "new a", None), ("b", 2, "update", None, None)), 1)
+        assert sorted(map(tuple, store.table("docs").collect())) == [("a", "new a"), ("b", "text b"), ("c", "text c")]
+    after = store._held(2)
+    assert 1 <= sum(after[b] != before[b] for b in after) <= 2
+    errors = store.events().where("event = 'parse-error'").select("doc_id", "seq").collect()
+    assert sorted(map(tuple, errors)) == [("a", 2), ("b", 2)]
+
+
+def test_last_callback_fires_by_the_watermark(spark):
+    """Updates at 1, 9 and 30 seconds of two keys, a batch each: the last wait stays open, the others fire."""
+    folder = work_dir(spark, "callback-updates")
+    for rows in ([("x", 1, 10), ("y", 1, 20)], [("x", 9, 11)], [("z", 30, 30)]):
+        spark.createDataFrame(rows, "k string, s long, v long").select("k", F.timestamp_seconds("s").alias("ts"), "v").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("k string, ts timestamp, v long").option("maxFilesPerTrigger", 1).parquet(folder)
+    found = replay(debounce_most(stream, "k", "v", "ts", 500, 2000), "callbacks")
+    assert sorted(map(tuple, found.collect())) == [("x", 1500, 10), ("x", 9500, 11), ("y", 1500, 20)]
