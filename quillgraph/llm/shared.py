@@ -76,3 +76,15 @@ def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str, max_ro
     if small.count() <= max_rows:
         small = F.broadcast(small)
     return big.join(small, on, how)
+
+
+def smallest_hashes(rows: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:
+    """The `most` rows with the smallest hashes of columns `by`, ties in `order`: a sample that is the same at any partitioning.
+
+    A count sets a bound that about 2 * most hashes lie under, and only rows under it are
+    ordered. Without it every task would send its own `most` rows, however many tasks there are.
+    """
+    digest, n = F.xxhash64(*by), rows.count()
+    if n > 2 * most:
+        rows = rows.where(digest < F.lit(int(2**64 * (2 * most / n)) - 2**63))
+    return rows.orderBy(digest, *order).limit(most)

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.llm import mixing, neardup, queries, topk, urls
+from quillgraph.llm.shared import smallest_hashes
 
 SF = "/root/testdata/sf0.001"
 
@@ -355,3 +356,11 @@ def test_pipeline(spark):
             assert {r["doc_id"] for r in rows} == kept
         docs, before = spark.createDataFrame(rows, after.schema), len(rows)
     assert collections.Counter(r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()).keys() == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_smallest_hashes_are_those_of_a_whole_sort(spark):
+    """The bound on hashes changes no row: small tables, large ones, repeated rows and nulls."""
+    for n in (0, 5, 5000):
+        rows = spark.range(n).select(F.when(F.col("id") % 50 != 0, F.col("id") % 3000).alias("k"), F.lit("x").alias("text")).repartition(7)
+        whole = rows.orderBy(F.xxhash64("k"), "k").limit(40).collect()
+        assert sorted(map(str, smallest_hashes(rows, ["k"], ["k"], 40).collect())) == sorted(map(str, whole))
