@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.shared import smallest_hashes, written
+
 #: (verdict, host and path) of the rules that the query uses.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -139,7 +141,8 @@ def weak_labels(pages: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
     that none is the label by itself. URLs that are null or have no `://` aren't used.
     """
     url = F.col("url").cast("string")
-    rows = pages.where(F.contains(url, F.lit("://"))).orderBy(F.xxhash64("url", "page_id"), "url", "page_id").limit(most // 2).select(url.alias("url"))
+    rows = pages.select("page_id", url.alias("url")).where(F.contains("url", F.lit("://")))
+    rows = written(smallest_hashes(rows, ["url", "page_id"], ["url", "page_id"], most // 2).select("url"), "urls")
     kind = lambda shift: F.pmod(F.shiftright(F.xxhash64("url"), shift), F.lit(8))
     # One change a projection: nested, the expression would be too long for one generated method.
     rows = rows.select("url", kind(3).alias("one"), kind(23).alias("two"))
@@ -235,7 +238,7 @@ def fit(labelled: DataFrame, rounds: int = 40, rate: float = 0.3, cuts: int = 32
     url = F.col("url")
     host, path = host_of(url), path_of(url)
     found = features(url, host, path)
-    rows = labelled.where("label in (0, 1)").orderBy(F.xxhash64("url"), "url", "label").limit(most)
+    rows = smallest_hashes(labelled.where("label in (0, 1)"), ["url"], ["url", "label"], most)
     # At most `most` rows of a dozen values.
     rows = rows.select(F.col("label").cast("double"), F.pmod(F.xxhash64("url"), F.lit(2)).alias("half"), *(suffix_of(host, n).alias(f"suffix_{n}") for n in SUFFIX_LABELS), *(c.alias(k) for k, c in found.items())).toPandas()
     if not len(rows):
