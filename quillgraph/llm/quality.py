@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.shared import sized_join, slices, written
+from quillgraph.llm.shared import sized_join, slices, smallest_hashes, written
 
 #: Dimensions of vectors, entries of an index vector that aren't zero, and neighbours on either side.
 DIMENSIONS, NONZERO, WINDOW = 128, 4, 2
@@ -236,7 +236,7 @@ class Model:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """(id, label, text), written: documents that are labelled and not held out, `most` rows at most even where ids repeat."""
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label in (0, 1)").where(~held_out("id"))
-    chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(most)
+    chosen = smallest_hashes(known, ["id"], ["id", "label"], most)
     # At most `most` rows of two numbers.
     chosen = docs.sparkSession.createDataFrame(chosen.toPandas(), "id long, label int")
     rows = sized_join(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")), chosen, ["id"], "inner", most)
