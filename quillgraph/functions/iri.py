@@ -67,7 +67,12 @@ def sorted_entries(prefixes: Column) -> Column:
 
 def compact(iri: Column, prefixes: Column, brackets: bool = True) -> Column:
     """prefix:local by the alphabetically first prefix whose base the IRI starts with, else the IRI, in brackets for sidecars."""
-    first = F.filter(sorted_entries(prefixes), lambda e: F.startswith(iri, e["value"]))
+    return compact_by(iri, sorted_entries(prefixes), brackets)
+
+
+def compact_by(iri: Column, entries: Column, brackets: bool = True) -> Column:
+    """`compact` by entries that are sorted already: once a document, not once a name."""
+    first = F.filter(entries, lambda e: F.startswith(iri, e["value"]))
     name = F.concat(first[0]["key"], F.lit(":"), F.substring(iri, F.length(first[0]["value"]) + 1, F.length(iri)))
     return F.when(F.size(first) > 0, name).otherwise(F.concat(F.lit("<"), iri, F.lit(">")) if brackets else iri)
 

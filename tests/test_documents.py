@@ -198,3 +198,28 @@ def test_types_of_a_relationship_block_come_first(spark):
     text = '@source-hash "sha256:00" .\n@prefix x: <urn:x:> .\n_:p x:n "v" ; a x:T .\n'
     triples = sidecar.triples_of(sidecar.parse_sidecars(spark.createDataFrame([("d", text)], "doc_id string, text string"))).orderBy("ord").collect()
     assert [(r["object_kind"], r["object_value"]) for r in triples] == [("iri", "urn:x:T"), ("literal", "v")]
+
+
+def test_pieces_make_up_the_sidecar(spark):
+    """Pieces are as long as one subject's statements, their texts are that of the document, and are read alike."""
+    from pyspark.sql import functions as F
+
+    body = "".join(f'_:e{i} [{i}..{i + 3 if i % 2 else ""}] a schema:Person ; sd:snippet "n\\"{i}" ; x:of _:e{i + 1} .\n\n' for i in range(300))
+    text = '@source-hash "sha256:' + "ab" * 32 + '" .\n@prefix x: <urn:x:> .\n' + body + "".join(f'_:z{i} x:n "{i}" ;\n    x:in _:e1 .\n' for i in range(20))
+    good = sidecar.parse_sidecars(spark.createDataFrame([("d", text), ("none", '@source-hash "sha256:00" .\n')], "doc_id string, text string"))
+    e, t = sidecar.entities_of(good), sidecar.triples_of(good)
+    overlay = good.select("doc_id", "source_hash", "prefixes")
+    parts = sidecar.pieces(overlay, e, t)
+    rows = sorted(parts.collect())
+    assert max(len(r["text"]) for r in rows) < 300
+    assert {d: "".join(r["text"] for r in rows if r["doc_id"] == d) for d in ("d", "none")} == {r["doc_id"]: r["text"] for r in sidecar.serialize(overlay, e, t).collect()}
+    parsed = sidecar.whole(sidecar.parse_pieces(parts))
+    order = ["section", "piece", "ord"]
+    assert sidecar.entities_of(parsed).orderBy(*order).drop(*order).collect() == e.orderBy("ord").drop("ord").collect()
+    assert sidecar.triples_of(parsed).orderBy(*order).drop(*order).collect() == t.orderBy("ord").drop("ord").collect()
+    broken = parts.withColumn("text", F.when(F.col("ord") == 7, "_:e7 [7..").otherwise(F.col("text")))
+    read = sidecar.parse_pieces(broken)
+    assert [r["error"] for r in read.where("error is not null").collect()] == ["parse error at line 1, col 6: expected [start..end]"]
+    assert sidecar.whole(read).count() == 0
+    headless = sidecar.parse_pieces(parts.where("section > 0"))
+    assert headless.where("error is null").count() == 0 and headless.count() == 320
