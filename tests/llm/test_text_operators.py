@@ -43,6 +43,18 @@ def test_cached_ids_equal_the_library(encoder):
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(ODD)] == [whole(encoder, t) for t in ODD]
 
 
+def test_marks_at_the_end_of_words_take_no_entry():
+    """A word is encoded once, whatever marks it ends in; contractions and special strings aren't cut."""
+    encoder = tokens.IdEncoder(tokens.tokenizer_path("byte_bpe_50k.json"))
+    texts = [f"so qworbling{m} it's {m}done{m} naïve{m} é{m} 12{m} he's{m} x'{m} <|endoftext|>{m}" for m in ("", ",", ".", "?!", "&&&", "$$$", "'", ",'s", "...")]
+    for _ in range(3):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts[:5])] == [whole(encoder, t) for t in texts[:5]]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [whole(encoder, t) for t in texts]
+    encoder.cache.clear()
+    encoder.encode([f"a qworbling{m}" for m in (",", ".", "?!", "&&&", "$$$")])
+    assert list(encoder.cache) == ["qworbling"]
+
+
 def test_piece_counts_equal_the_library():
     counter = tokens.PieceCounter(tokens.tokenizer_path("piece_bpe_32k.model"), {"never": 2})
     assert counter.splits
