@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.shared import sized_join, slices, written
+from quillgraph.llm.shared import lean, sized_join, slices, written
 
 #: Values in a band, and with what probability a pair right at the threshold may share no band.
 ROWS = 5
@@ -144,7 +144,7 @@ def features(docs: DataFrame, width: int, permutations: int, rows: int) -> DataF
                 keys.append(band_keys(found, permutations, rows) if len(found) else None)
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -155,7 +155,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array([shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
 
     wanted = sized_join(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")), ids, ["id"], "left_semi")
-    return wanted.mapInArrow(run, "id long, shingles binary")
+    return wanted.mapInArrow(lean(run), "id long, shingles binary")
 
 
 def hot_keys(counts: DataFrame, on: list[str], name: str) -> DataFrame:
@@ -199,7 +199,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 linked.append(100 * both >= threshold * (len(left) + len(right) - both))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    return with_sets(pairs, sets, "hotpairs").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
+    return with_sets(pairs, sets, "hotpairs").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long, linked boolean")
 
 
 def compare(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -226,7 +226,7 @@ def compare(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(of, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(extra, pa.int64())], names=["a", "b", "linked", "of", "bits", "extra"])
 
     rows = with_sets(pairs, sets, "hotviews").select("a", "b", "x", "y", "common")
-    return rows.mapInArrow(run, "a long, b long, linked boolean, of long, bits array<long>, extra long")
+    return rows.mapInArrow(lean(run), "a long, b long, linked boolean, of long, bits array<long>, extra long")
 
 
 def still_mixed(rows: DataFrame, hot: DataFrame, labels: DataFrame, name: str) -> DataFrame:
@@ -273,7 +273,7 @@ def shared_counts(sets: DataFrame, ids: DataFrame) -> DataFrame:
 
     open_sets = sized_join(sets, ids, ["id"], "left_semi")
     # A shingle with one id has least = most; repeated rows of one id don't make it common.
-    each = open_sets.mapInArrow(run, "shingle long, id long").groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other"))
+    each = open_sets.mapInArrow(lean(run), "shingle long, id long").groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other"))
     alone = each.where("id = other").groupBy("id").agg(F.count("*").alias("alone"))
     sizes = open_sets.groupBy("id").agg(F.expr("min(octet_length(shingles)) div 8").alias("n"), F.expr("max(octet_length(shingles)) div 8").alias("most"), F.countDistinct("shingles").alias("sets"))
     # An id with several texts may share as much as its longest one has.

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.shared import sized_join, slices, smallest_hashes, written
+from quillgraph.llm.shared import lean, sized_join, slices, smallest_hashes, written
 
 #: Dimensions of vectors, entries of an index vector that aren't zero, and neighbours on either side.
 DIMENSIONS, NONZERO, WINDOW = 128, 4, 2
@@ -258,7 +258,7 @@ def vocabulary(rows: DataFrame, most: int = VOCABULARY) -> Units:
         if seen:
             yield pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["unit", "n"])
 
-    counts = rows.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = rows.select("text").mapInArrow(lean(run), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1")
     # At most `most` short words.
     top = [r["unit"] for r in counts.orderBy(F.desc("n"), "unit").limit(most).collect()]
     return Units({u: SHAPES + 1 + i for i, u in enumerate(sorted(top))})
@@ -281,7 +281,7 @@ def train_vectors(rows: DataFrame, units: Units) -> np.ndarray:
         total = sum(np.frombuffer(x, "<i4").astype(np.int64) for x in part["sums"])
         return pd.DataFrame({"first": part["first"].iloc[:1], "sums": [total.astype("<i8").tobytes()]})
 
-    parts = rows.select("text").mapInArrow(run, "first int, sums binary").groupBy("first").applyInPandas(add, "first int, sums binary")
+    parts = rows.select("text").mapInArrow(lean(run), "first int, sums binary").groupBy("first").applyInPandas(add, "first int, sums binary")
     # A row for 1024 units: under 20 MB in all.
     got = sorted((r["first"], r["sums"]) for r in parts.collect())
     sums = np.frombuffer(b"".join(x for _, x in got), "<i8").reshape(-1, DIMENSIONS + 1) if got else np.zeros((units.size, DIMENSIONS + 1), np.int64)
@@ -301,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
             x = pool(batch.column(2).to_pylist(), units, vectors)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "label", "x"])
 
-    got = rows.select("id", "label", "text").mapInArrow(run, "id long, label int, x binary").toPandas().sort_values(["id", "label", "x"])
+    got = rows.select("id", "label", "text").mapInArrow(lean(run), "id long, label int, x binary").toPandas().sort_values(["id", "label", "x"])
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), DIMENSIONS + 1)
     return Model(units, vectors, train(x, got["label"].to_numpy()))
 
@@ -324,7 +324,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out("doc_id").alias("held_out"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, SCORES)
+    return rows.mapInArrow(lean(run), SCORES)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, most: int = MOST_LABELLED) -> DataFrame:
@@ -341,4 +341,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", thresh
         for batch in slices(batches, "text", 1 << 20):
             yield batch.filter(pa.array(model.value.scores(batch.column(at).to_pylist()) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -55,6 +55,15 @@ def test_marks_at_the_end_of_words_take_no_entry():
     assert list(encoder.cache) == ["qworbling"]
 
 
+def test_other_operators_begin_without_encoders():
+    """A Python worker that packed documents before holds no word caches while it looks for near-duplicates."""
+    from quillgraph.llm import shared
+
+    tokens.worker_encoder("byte_bpe_50k.json").encode(["a b c d"])
+    held = list(shared.lean(lambda batches: ([*tokens._WORKER, x] for x in batches))(iter([1])))
+    assert held == [[1]] and not tokens._WORKER
+
+
 def test_piece_counts_equal_the_library():
     counter = tokens.PieceCounter(tokens.tokenizer_path("piece_bpe_32k.model"), {"never": 2})
     assert counter.splits
